@@ -28,10 +28,13 @@ from graphloom.llm.vectors import DIMENSION, sample_units, unit_rows
 from graphloom.session import cut_lineage, parallelism
 
 SAMPLE_ROWS = 16_384
-CODEBOOKS = 6
+CODEBOOKS = 16
 CODEWORDS = 256
-BEAM = 4
+#: Paths kept after each codebook; the last number holds for all further ones.
+BEAM = (4, 4, 2, 2, 1)
 PROBES = 3
+#: Distances between reconstructions may exceed those expected of a pair by this factor.
+SLACK = 1.05
 #: Rows of one block of an inverted list; longer lists are searched block against block.
 BLOCK_ROWS = 4_096
 #: A list expected to hold more rows is split over as many tasks as needed; queries visit all its parts.
@@ -63,7 +66,6 @@ class AdditiveQuantiser:
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
         self.all = np.concatenate(codebooks)
         self.half = 0.5 * np.einsum("ij,ij->i", self.all, self.all)
-        self.gram = self.all @ self.all.T
         self.parts = np.ones(self.sizes[0], np.int64)
 
     def split_lists(self, sample: np.ndarray, rows: int) -> None:
@@ -95,44 +97,60 @@ class AdditiveQuantiser:
             books.append(book)
         return cls(books)
 
-    def encode(self, x: np.ndarray, beam: int = BEAM, firsts: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
-        """(codes n x codebooks, as rows of ``all``; the nearest first codewords n x firsts)."""
-        codes, near = [], []
+    def encode(self, x: np.ndarray, firsts: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, as rows of ``all``; squared norm of what is left over; the nearest first codewords)."""
+        codes, left, near = [], [], []
         for part in np.array_split(x, max(1, -(-len(x) // 2048))):
-            gain = part @ self.all.T - self.half
-            width = min(beam, self.sizes[0])
-            first = gain[:, : self.sizes[0]]
-            top = np.argpartition(-first, min(max(firsts, width), self.sizes[0]) - 1, axis=1)[:, : max(firsts, width)]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(first, top, 1), axis=1), 1)
+            first = part @ self.codebooks[0].T - self.half[: self.sizes[0]]
+            top = _best(first, min(max(firsts, BEAM[0]), self.sizes[0]))
             near.append(top[:, :firsts])
-            paths = top[:, :width, None]
-            score = np.take_along_axis(first, top[:, :width], 1)
+            words = top[:, : BEAM[0], None]
+            rest = part[:, None, :] - self.codebooks[0][words[:, :, 0]]
             for m in range(1, len(self.sizes)):
-                low, high = self.offsets[m], self.offsets[m + 1]
-                cross = self.gram[paths[:, :, 0], low:high].copy()
-                for j in range(1, m):
-                    cross += self.gram[paths[:, :, j], low:high]
-                total = (score[:, :, None] + gain[:, None, low:high] - cross).reshape(len(part), -1)
-                width = min(beam, total.shape[1])
-                best = np.argpartition(-total, width - 1, axis=1)[:, :width]
-                score = np.take_along_axis(total, best, 1)
-                came, word = best // (high - low), best % (high - low)
-                paths = np.concatenate([np.take_along_axis(paths, came[:, :, None], 1), (word + low)[:, :, None]], axis=2)
-            codes.append(np.take_along_axis(paths, np.argmax(score, axis=1)[:, None, None], 1)[:, 0])
-        if not codes:
-            return np.empty((0, len(self.sizes)), np.int16), np.empty((0, firsts), np.int32)
-        return np.concatenate(codes).astype(np.int16), np.concatenate(near).astype(np.int32)
-
-    def reconstruct(self, codes: np.ndarray) -> np.ndarray:
-        return self.all[codes].sum(axis=1)
-
-    def scores(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Products of query reconstructions with coded vectors, by look-up tables."""
-        tables = self.reconstruct(queries) @ self.all.T
-        total = tables[:, codes[:, 0]]
-        for m in range(1, codes.shape[1]):
-            total += tables[:, codes[:, m]]
-        return total
+                book, low = self.codebooks[m], self.offsets[m]
+                # the error of each path once each codeword is taken from what it leaves
+                error = rest.reshape(-1, part.shape[1]) @ -book.T
+                error += self.half[low : self.offsets[m + 1]]
+                error = error.reshape(len(part), rest.shape[1], -1)
+                if rest.shape[1] > 1:
+                    error += 0.5 * np.einsum("nbd,nbd->nb", rest, rest)[:, :, None]
+                error = error.reshape(len(part), -1)
+                width = min(BEAM[min(m, len(BEAM) - 1)], error.shape[1])
+                best = np.argpartition(error, width - 1, axis=1)[:, :width] if width > 1 else np.argmin(error, axis=1)[:, None]
+                came, word = best // self.sizes[m], best % self.sizes[m]
+                words = np.concatenate([np.take_along_axis(words, came[:, :, None], 1), (word + low)[:, :, None]], axis=2)
+                rest = np.take_along_axis(rest, came[:, :, None], 1) - book[word]
+            error = np.einsum("nbd,nbd->nb", rest, rest)
+            pick = np.argmin(error, axis=1)[:, None]
+            codes.append(np.take_along_axis(words, pick[:, :, None], 1)[:, 0])
+            left.append(np.take_along_axis(error, pick, 1)[:, 0])
+        if not len(x):
+            return np.empty((0, len(self.sizes)), np.int32), np.empty(0, np.float32), np.empty((0, firsts), np.int32)
+        return np.concatenate(codes), np.concatenate(left).astype(np.float32), np.concatenate(near)
+
+    def pack(self, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """One byte string for each vector: first code, other codes, the stored norm."""
+        packed = np.empty(len(codes), self.packing)
+        packed["first"], packed["others"], packed["left"] = codes[:, 0], codes[:, 1:] - self.offsets[1:-1], left
+        return packed
+
+    @property
+    def packing(self) -> np.dtype:
+        return np.dtype([("first", "<u2"), ("others", "u1", (len(self.sizes) - 1,)), ("left", "<f4")])
+
+    def unpack(self, blobs: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(reconstructions, read from the tables of codewords; squared norms left over)."""
+        packed = np.frombuffer(blobs, self.packing)
+        total = self.codebooks[0][packed["first"]]
+        for m in range(1, len(self.sizes)):
+            total += self.codebooks[m][packed["others"][:, m - 1]]
+        return total, packed["left"]
+
+
+def _best(gain: np.ndarray, count: int) -> np.ndarray:
+    """Columns of the ``count`` greatest of each row, greatest first."""
+    top = np.argpartition(-gain, count - 1, axis=1)[:, :count]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(gain, top, 1), axis=1), 1)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -164,82 +182,89 @@ def fit_quantisers(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str,
 def candidate_pairs(vectors: DataFrame, least: float | None, depth: int, probes: int = PROBES, query: str | None = None) -> DataFrame:
     """(space, query, member) hashes of vectors that may be near, from codes alone.
 
-    least: pairs whose coded cosine reaches it are kept, however many; else the best
-    ``depth`` of each query and block.  query: SQL condition on owner_id of the query rows.
+    least: a pair is kept, however many there are, if its reconstructions are no farther apart
+    than a pair of this cosine would have them, both leftovers added; without least, the best
+    ``depth`` of each query and list.  query: SQL condition on owner_id of the query rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
     models = fit_quantisers(rows)
+    names = sorted(models)
     shared = spark.sparkContext.broadcast(models)
     asks = F.expr(query) if query else F.lit(True)
+    reach = None if least is None else 2 - 2 * least
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spaces, vec = np.asarray(batch.column(0).to_pylist(), object), np.asarray(batch.column(1))
             ask = np.asarray(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False))
             at, x = unit_rows(batch.column(3))
-            for space, model in shared.value.items():
+            for number, space in enumerate(names):
+                model = shared.value[space]
                 own = np.flatnonzero(spaces[at] == space)
                 if not len(own):
                     continue
-                key = vec[at[own]] * 2 + ask[at[own]]
-                _, once = np.unique(key, return_index=True)  # copies within the batch
-                own = own[once]
-                codes, near = model.encode(x[own], firsts=probes)
-                blobs = np.ascontiguousarray(codes)
+                own = own[np.lexsort((~ask[at[own]], vec[at[own]]))]
+                own = own[np.unique(vec[at[own]], return_index=True)[1]]  # copies within the batch, a query before others
+                codes, left, near = model.encode(x[own], firsts=probes)
+                packed = model.pack(codes, left)
+                row, place, home = [], [], []
+                for i, (visits, asking) in enumerate(zip(model.places(near, vec[at[own]]), ask[at[own]].tolist())):
+                    visits = visits if asking else visits[:1]
+                    row += [i] * len(visits)
+                    place += visits
+                    home += [True] + [False] * (len(visits) - 1)
+                own = own[row]
+                flags = np.array(home) * 2 + ask[at[own]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([space] * len(own)),
+                        pa.array((np.array(place, np.int64) * len(names) + number).astype(np.int32)),
+                        pa.array(flags.astype(np.int8)),
                         pa.array(vec[at[own]]),
-                        pa.array(ask[at[own]]),
-                        pa.array([c.tobytes() for c in blobs], pa.binary()),
-                        pa.array(model.places(near, vec[at[own]]), pa.list_(pa.int32())),
+                        pa.array([packed[i].tobytes() for i in row], pa.binary()),
                     ],
-                    ["space", "vec", "ask", "codes", "near"],
+                    ["place", "flags", "vec", "codes"],
                 )
 
-    coded = rows.select("space", "vec", asks.alias("ask"), "embedding").mapInArrow(encode, "space string, vec bigint, ask boolean, codes binary, near array<int>")
-    coded = coded.groupBy("space", "vec").agg(F.max("ask").alias("ask"), F.first("codes").alias("codes"), F.first("near").alias("near"))
-    entries = coded.select("space", "vec", "ask", "codes", F.posexplode("near").alias("pos", "list")).filter("pos = 0 or ask")
-    tasks = parallelism(spark)
+    entries = rows.select("space", "vec", asks.alias("ask"), "embedding").mapInArrow(encode, "place int, flags tinyint, vec bigint, codes binary")
 
-    # Lists are gathered many to a task; a list longer than a block is compared block by block there.
+    # Many lists are gathered to a task; a list longer than a block is compared block by block there.
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame = pa.Table.from_batches(list(batches))
         if not frame.num_rows:
             return
-        space = np.asarray(frame.column("space").to_pylist(), object)
-        lists, pos = np.asarray(frame.column("list")), np.asarray(frame.column("pos"))
-        vec, ask = np.asarray(frame.column("vec")), frame.column("ask").to_numpy()
-        blob = frame.column("codes").combine_chunks()
-        codes = np.frombuffer(b"".join(blob.to_pylist()), np.int16).reshape(len(vec), -1)
-        for name, model in shared.value.items():
-            own = np.flatnonzero(space == name)
-            own = own[np.argsort(lists[own], kind="stable")]
-            bounds = np.flatnonzero(np.r_[True, np.diff(lists[own]) != 0, True]) if len(own) else []
-            for low, high in zip(bounds[:-1], bounds[1:]):
-                group = own[low:high]
-                members, queries = group[pos[group] == 0], group[ask[group]]
-                for qs in range(0, len(queries), 1024):
-                    q = queries[qs : qs + 1024]
-                    qn = np.linalg.norm(model.reconstruct(codes[q]), axis=1)
-                    for ms in range(0, len(members), BLOCK_ROWS):
-                        m = members[ms : ms + BLOCK_ROWS]
-                        s = model.scores(codes[q], codes[m])
-                        s /= qn[:, None]
-                        s /= np.linalg.norm(model.reconstruct(codes[m]), axis=1)
-                        if least is not None:
-                            a, b = np.nonzero(s >= least)
-                        else:
-                            keep = min(depth + 1, len(m))
-                            b = np.argpartition(-s, keep - 1, axis=1)[:, :keep].ravel()
-                            a = np.repeat(np.arange(len(q)), keep)
-                        a, b = vec[q[a]], vec[m[b]]
-                        apart = a != b
-                        if apart.any():
-                            yield pa.RecordBatch.from_arrays([pa.array([name] * int(apart.sum())), pa.array(a[apart]), pa.array(b[apart])], ["space", "query", "member"])
-
-    return entries.repartition(tasks, "space", "list").mapInArrow(search, "space string, query bigint, member bigint")
+        places, flags, vecs = (np.asarray(frame.column(c)) for c in ("place", "flags", "vec"))
+        order = np.lexsort((-flags, vecs, places))
+        keep = np.r_[True, (np.diff(places[order]) != 0) | (np.diff(vecs[order]) != 0)]  # copies from other batches
+        order = order[keep]
+        blobs = frame.column("codes").combine_chunks().take(pa.array(order)).to_pylist()
+        places, flags, vecs = places[order], flags[order], vecs[order]
+        bounds = np.flatnonzero(np.r_[True, np.diff(places) != 0, True])
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            name = names[places[low] % len(names)]
+            x, left = shared.value[name].unpack(b"".join(blobs[low:high]))
+            size, vec = np.einsum("ij,ij->i", x, x), vecs[low:high]
+            members, queries = np.flatnonzero(flags[low:high] >= 2), np.flatnonzero(flags[low:high] % 2 == 1)
+            for qs in range(0, len(queries), 1024):
+                q = queries[qs : qs + 1024]
+                for ms in range(0, len(members), BLOCK_ROWS):
+                    m = members[ms : ms + BLOCK_ROWS]
+                    s = x[q] @ x[m].T
+                    if reach is not None:
+                        # |x - y|^2 within SLACK * (reach + both leftovers), sorted to one comparison
+                        bound = 0.5 * (size[q, None] + size[m] - SLACK * (reach + left[q, None] + left[m]))
+                        a, b = np.nonzero(s >= bound)
+                    else:
+                        s /= np.sqrt(size[m])
+                        some = min(depth + 1, len(m))
+                        b = np.argpartition(-s, some - 1, axis=1)[:, :some].ravel()
+                        a = np.repeat(np.arange(len(q)), some)
+                    a, b = vec[q[a]], vec[m[b]]
+                    apart = a != b
+                    if apart.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * int(apart.sum())), pa.array(a[apart]), pa.array(b[apart])], ["space", "query", "member"])
+
+    return entries.repartition(parallelism(spark), "place").mapInArrow(search, "space string, query bigint, member bigint")
 
 
 def exact_cosine(a: str, b: str) -> F.Column:
@@ -277,9 +302,9 @@ def nearest_owners(vectors: DataFrame, scored: DataFrame, k: int, query: str | N
     return near.unionByName(copies).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def mutual_pairs(vectors: DataFrame, k: int = 10, least: float = 0.97, coded_least: float = 0.6) -> DataFrame:
+def mutual_pairs(vectors: DataFrame, k: int = 10, least: float = 0.97) -> DataFrame:
     """(space, owner_a, owner_b): pairs of at least this cosine, each among the other's k nearest."""
-    found = cut_lineage(candidate_pairs(vectors, coded_least, 0).select("space", F.least("query", "member").alias("query"), F.greatest("query", "member").alias("member")).distinct())
+    found = cut_lineage(candidate_pairs(vectors, least, 0).select("space", F.least("query", "member").alias("query"), F.greatest("query", "member").alias("member")).distinct())
     scored = exact_pairs(vectors, found).filter(F.col("cosine") >= least)
     scored = cut_lineage(scored.select("space", F.explode(F.array(F.struct("query", "member"), F.struct(F.col("member").alias("query"), F.col("query").alias("member")))).alias("p"), "cosine").select("space", "p.query", "p.member", "cosine"))
     near = nearest_owners(vectors, scored, k)
