@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 12
+Q = 20
 #: Diagonals of one band; bands overlap by half.
 BAND = 24
 #: Length and edits of the least region worth keeping: it shares REGION - Q + 1 - EDITS * Q q-grams.
-REGION, EDITS = 36, 1
+REGION, EDITS = 48, 1
 #: Share of an item that regions must be able to cover, and share of its words that must align.
-COVER, SHARE = 0.10, 0.25
+COVER, SHARE = 0.22, 0.25
 #: A run of fewer aligned words does not count.
-RUN = 5
+RUN = 6
 #: A stretch of so many characters in two items is shared wording.
 SHARED = 30
 #: Items of one pass over the corpus; more items take more passes.
@@ -86,7 +86,8 @@ def grams(data: np.ndarray) -> np.ndarray:
     two = data[:-1].astype(np.uint64) << np.uint64(8) | data[1:]
     four = two[:-2] << np.uint64(16) | two[2:]
     eight = four[:-4] << np.uint64(32) | four[4:]
-    return eight[: len(data) - Q + 1] * np.uint64(0x9E3779B97F4A7C15) + four[8 : len(data) - Q + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
+    size = len(data) - Q + 1
+    return eight[:size] * np.uint64(0x9E3779B97F4A7C15) ^ eight[Q - 8 : Q - 8 + size] * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class ItemIndex:
@@ -160,7 +161,8 @@ class ItemIndex:
         bound = REGION - Q + 1 - EDITS * Q
         # pairs that share too few q-grams in all have no region
         _, inverse, total = np.unique(pair, return_inverse=True, return_counts=True)
-        keep = total[inverse] >= bound
+        # nor do pairs whose q-grams, a third of them destroyed, could not cover enough of the item
+        keep = total[inverse] >= np.maximum(bound, COVER / 3 * self.lengths[item])
         pair, spot, item, place = pair[keep], spot[keep], item[keep], place[keep]
         if not len(pair):
             return []
@@ -203,7 +205,7 @@ class ItemIndex:
             return 0.0
         ends = np.cumsum([len(w) for w in said])
         matched = np.zeros(len(wanted), bool)
-        for low, high, first, last in regions:
+        for low, high, first, last in sorted(set(regions)):
             i0, i1 = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high + Q - 1, side="right"))
             j0, j1 = int(self.word_at[n][first]), int(self.word_at[n][min(last + Q - 1, self.lengths[n] - 1)])
             reach = 12
@@ -212,17 +214,13 @@ class ItemIndex:
             run: list[tuple[int, int]] = []
             for i, j in [*pairs, (1 << 30, 1 << 30)]:
                 if run and (j - run[-1][1] > 3 or i - run[-1][0] > 3):
-                    if len(run) >= RUN or len(run) >= 4 and _whole_sentence(run):
+                    if len(run) >= RUN:
                         matched[[b0 + y for _, y in run]] = True
                     run = []
                 run.append((i, j))
         return float((matched & self.own_words[n]).sum()) / len(wanted)
 
 
-def _whole_sentence(run: list[tuple[int, int]]) -> bool:
-    return False
-
-
 def alike(a: str, b: str) -> bool:
     """Equal, or one small slip apart."""
     if a == b:
