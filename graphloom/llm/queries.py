@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import clusters, neighbours, splitting, tokenizer
+from graphloom.llm import clusters, leaks, names, neighbours, pairs, reading, splitting, tokenizer
 from graphloom.session import table
 
 #: The query rows of a search: every owner whose hash is divisible by 50.
@@ -39,12 +39,28 @@ def p4_content_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_by_content(table(spark, sf_dir, "chunks"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, sf_dir, "results"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.same_names(table(spark, sf_dir, "nodes"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p2_found, p2_most_similar, p3_found, p3_described, p4_found, p4_content_defined, p7_ids]
+    own = [p2_found, p2_most_similar, p3_found, p3_described, p4_found, p4_content_defined, p5_found, p6_found, p7_ids, p8_found, p9_found]
     return {f.__name__: f for f in own}
 
 
