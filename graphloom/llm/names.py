@@ -281,9 +281,10 @@ def same_names(nodes: DataFrame) -> DataFrame:
         nick = shared.value
         for given in nick.values():
             GIVEN.update(given)
-        frame = pa.Table.from_batches(list(batches))
-        if not frame.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        frame = pa.Table.from_batches(held)
         key = np.asarray(frame.column("key").to_pylist(), object)
         codes = np.unique(key, return_inverse=True)[1]
         order = np.argsort(codes, kind="stable")

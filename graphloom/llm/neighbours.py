@@ -230,9 +230,10 @@ def candidate_pairs(vectors: DataFrame, least: float | None, depth: int, probes:
 
     # Many lists are gathered to a task; a list longer than a block is compared block by block there.
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = pa.Table.from_batches(list(batches))
-        if not frame.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        frame = pa.Table.from_batches(held)
         places, flags, vecs = (np.asarray(frame.column(c)) for c in ("place", "flags", "vec"))
         order = np.lexsort((-flags, vecs, places))
         keep = np.r_[True, (np.diff(places[order]) != 0) | (np.diff(vecs[order]) != 0)]  # copies from other batches
