@@ -35,6 +35,9 @@ REGION, EDITS = 48, 1
 COVER, SHARE = 0.22, 0.25
 #: A run of fewer aligned words does not count.
 RUN = 6
+#: Without a run of so many words, the runs near each other must cover this share: phrases that
+#: lie scattered over a long text are stock.
+LONG_RUN, NEAR_SHARE = 16, 0.33
 #: A stretch of so many characters in two items is shared wording.
 SHARED = 30
 #: Items of one pass over the corpus; more items take more passes.
@@ -204,7 +207,7 @@ class ItemIndex:
         if not wanted:
             return 0.0
         ends = np.cumsum([len(w) for w in said])
-        matched = np.zeros(len(wanted), bool)
+        runs: list[tuple[int, int, list[int]]] = []
         for low, high, first, last in sorted(set(regions)):
             i0, i1 = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high + Q - 1, side="right"))
             j0, j1 = int(self.word_at[n][first]), int(self.word_at[n][min(last + Q - 1, self.lengths[n] - 1)])
@@ -215,10 +218,25 @@ class ItemIndex:
             for i, j in [*pairs, (1 << 30, 1 << 30)]:
                 if run and (j - run[-1][1] > 3 or i - run[-1][0] > 3):
                     if len(run) >= RUN:
-                        matched[[b0 + y for _, y in run]] = True
+                        runs.append((a0 + run[0][0], a0 + run[-1][0], [b0 + y for _, y in run]))
                     run = []
                 run.append((i, j))
-        return float((matched & self.own_words[n]).sum()) / len(wanted)
+        if not runs:
+            return 0.0
+        total = self._covered(n, runs)
+        if max(self.own_words[n][w].sum() for _, _, w in runs) < LONG_RUN:
+            span = 2 * len(wanted)
+            near = max(self._covered(n, [r for r in runs if start <= r[0] and r[1] <= start + span]) for start, _, _ in runs)
+            if near < NEAR_SHARE:
+                return 0.0
+        return total
+
+    def _covered(self, n: int, runs: list[tuple[int, int, list[int]]]) -> float:
+        """Share of the item's words that the runs cover, shared wording left out."""
+        matched = np.zeros(len(self.words[n]), bool)
+        for _, _, w in runs:
+            matched[w] = True
+        return float((matched & self.own_words[n]).sum()) / len(self.words[n])
 
 
 def alike(a: str, b: str) -> bool:
