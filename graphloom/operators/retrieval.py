@@ -70,6 +70,49 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_c
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def max_similarity(vectors: DataFrame, queries: DataFrame, doc_col: str, vec_col: str) -> DataFrame:
+    """(query, doc, score): for each query text the best products of its token vectors within a document, added up.
+
+    queries: (query, vector), in blocks of bounded size against all rows; each task sends one
+    row a token and document.
+    """
+    spark = vectors.sparkSession
+    found: DataFrame | None = None
+
+    def search(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((block, np.array([b[2] for b in block], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, q = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                docs = np.array(batch.column(0).to_pylist(), object)
+                s = q @ np.array(batch.column(1).to_pylist(), np.float64).T
+                names, at = np.unique(docs.astype(str), return_inverse=True)
+                best = np.full((len(asked), len(names)), -np.inf)
+                np.maximum.at(best.T, at, s.T)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([str(b[0]) for b in asked], len(names)).tolist()), pa.array(np.repeat([b[1] for b in asked], len(names))), pa.array(np.tile(names, len(asked)).tolist()), pa.array(best.ravel())],
+                    ["query", "token", "doc", "best"],
+                )
+
+        return vectors.filter(F.col(vec_col).isNotNull()).select(doc_col, vec_col).mapInArrow(run, "query string, token bigint, doc string, best double")
+
+    block: list = []
+    for n, row in enumerate(queries.toLocalIterator()):
+        block.append((row[0], n, list(row[1])))
+        if len(block) == QUERIES_A_PASS:
+            part, block = search(block), []
+            found = part if found is None else found.unionByName(part)
+    if block:
+        part = search(block)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query string, doc string, score double")
+    return found.groupBy("query", "token", "doc").agg(F.max("best").alias("best")).groupBy("query", "doc").agg(F.sum("best").alias("score"))
+
+
 def tfidf(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf): counts of words of two and more characters, lower case."""
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("([a-z0-9]{2,})"), F.lit(1))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.session import cut_lineage
 
@@ -53,30 +56,38 @@ def balanced_clusters(vectors: DataFrame, size: int, seed: int = 42, rounds: int
         return rows.select("id", F.lit(0).alias("cluster"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
     centres = np.array(model.clusterCenters())
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres]) if k <= 64 else None
-    if table is None:
-        shared = rows.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "cluster int, centre array<double>")
-        spread = rows.select("id", vector_to_array("features").alias("x")).crossJoin(F.broadcast(shared))
-    else:
-        spread = rows.select("id", vector_to_array("features").alias("x"), F.posexplode(table).alias("cluster", "centre"))
-    distance = F.aggregate(F.zip_with("x", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    choices = cut_lineage(spread.select("id", "cluster", distance.alias("distance")))
-    taken = None
+    free = rows.select("id", vector_to_array("features").alias("x"))
+    used, taken = np.zeros(k, int), None
     for _ in range(rounds):
-        free = choices if taken is None else choices.join(taken.select("id"), "id", "left_anti")
-        if taken is not None:
-            room = taken.groupBy("cluster").agg(F.count("*").alias("used"))
-            free = free.join(F.broadcast(room), "cluster", "left").withColumn("room", size - F.coalesce("used", F.lit(0))).drop("used").filter("room > 0")
-        else:
-            free = free.withColumn("room", F.lit(size))
-        near = free.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("distance", "cluster"))).filter("r = 1")
-        accepted = cut_lineage(near.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("distance", "id"))).filter("r <= room").select("id", "cluster"))
-        if accepted.isEmpty():
+        still_open = np.flatnonzero(used < size)
+        shared = rows.sparkSession.sparkContext.broadcast((still_open, centres[still_open]))
+        left = free if taken is None else free.join(taken.select("id"), "id", "left_anti")
+        schema = T.StructType([rows.schema["id"], T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+        room = F.array(*[F.lit(int(size - u)) for u in used])
+        near = left.mapInArrow(partial(_nearest_centre, shared), schema)
+        order = Window.partitionBy("cluster").orderBy("distance", "id")
+        accepted = cut_lineage(near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= room[F.col("cluster")]).select("id", "cluster"))
+        counts = accepted.groupBy("cluster").agg(F.count("*").alias("n")).collect()
+        if not counts:
             break
+        for row in counts:
+            used[row["cluster"]] += row["n"]
         taken = accepted if taken is None else taken.unionByName(accepted)
     return taken
 
 
+def _nearest_centre(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's nearest centre among those with room; the centres are as few as clusters."""
+    numbers, centres = shared.value
+    for batch in batches:
+        if not batch.num_rows or not len(numbers):
+            continue
+        x = np.array(batch.column(1).to_pylist(), np.float64)
+        d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2) if len(centres) * x.size < 5e7 else (x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T
+        best = np.argmin(d, axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers[best].astype(np.int32)), pa.array(d[np.arange(len(x)), best])], ["id", "cluster", "distance"])
+
+
 def build_layers(leaves: DataFrame, cluster: Callable[[DataFrame], DataFrame], layers: int = 3, least: int = 8) -> DataFrame:
     """(parent, child, layer): clusters of leaves (id, embedding) become the nodes of the next layer, at their mean.
 

@@ -104,14 +104,14 @@ def hier_flat_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hierarchical_flat_search(table(spark, sf_dir, "retrieval"), 5)
 
 
-@query(
-    f"""WITH {DEG}, ed AS (SELECT p.src, p.dst, coalesce(a.degree, 0) + coalesce(b.degree, 0) AS degree FROM (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL) p LEFT JOIN deg a ON a.node = p.src LEFT JOIN deg b ON b.node = p.dst),
+RELATIONS = f"""{DEG}, ed AS (SELECT p.src, p.dst, coalesce(a.degree, 0) + coalesce(b.degree, 0) AS degree FROM (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL) p LEFT JOIN deg a ON a.node = p.src LEFT JOIN deg b ON b.node = p.dst),
     x AS (SELECT src, dst, max(coalesce(weight, 0)) AS weight, min(CASE WHEN names <> '' THEN names ELSE {STRIP.format("concat_ws(' ', words, src, dst, description)")} END) AS text FROM (SELECT *, array_to_string(list_filter(coalesce(relation_names, []), lambda x: x <> ''), ', ') AS names, array_to_string(coalesce(keywords, []), ', ') AS words FROM edges) GROUP BY 1, 2),
     s AS (SELECT DISTINCT query_id, id AS node FROM retrieval WHERE kind = 'entity' AND query_id IS NOT NULL),
     r AS (SELECT DISTINCT query_id, src, dst, weight, degree, {TOK.format("text")} AS tokens FROM s JOIN x ON s.node = x.src OR s.node = x.dst JOIN ed USING (src, dst)),
-    o AS (SELECT *, sum(tokens) OVER w AS used, row_number() OVER w AS place FROM r WINDOW w AS (PARTITION BY query_id ORDER BY degree DESC, weight DESC, src, dst ROWS UNBOUNDED PRECEDING))
-    SELECT query_id, src, dst, place FROM o WHERE used <= 60"""
-)
+    o AS (SELECT *, sum(tokens) OVER w AS used, row_number() OVER w AS place FROM r WINDOW w AS (PARTITION BY query_id ORDER BY degree DESC, weight DESC, src, dst ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"WITH {RELATIONS} SELECT query_id, src, dst, place FROM o WHERE used <= 60")
 def relations_from_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "edges")
     return retrieval.relations_of_seeds(table(spark, sf_dir, "retrieval"), edges, graph.edge_degree(edges), merge.edge_text(edges), 60)
