@@ -31,10 +31,10 @@ SAMPLE_ROWS = 16_384
 CODEBOOKS = 16
 CODEWORDS = 256
 #: Paths kept after each codebook; the last number holds for all further ones.
-BEAM = (4, 4, 2, 2, 1)
+BEAM = (4, 2, 1)
 PROBES = 3
 #: Distances between reconstructions may exceed those expected of a pair by this factor.
-SLACK = 1.05
+SLACK = 1.1
 #: Rows of one block of an inverted list; longer lists are searched block against block.
 BLOCK_ROWS = 4_096
 #: A list expected to hold more rows is split over as many tasks as needed; queries visit all its parts.
@@ -155,15 +155,19 @@ def _best(gain: np.ndarray, count: int) -> np.ndarray:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(space, owner_id, vec, embedding): vec is the 64-bit hash that stands for the exact vector."""
-    sound = (F.size("embedding") == DIMENSION) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    # NaN counts as the greatest value
+    most, least = F.array_max("embedding"), F.array_min("embedding")
+    sound = (F.size("embedding") == DIMENSION) & ((most != 0) | (least != 0)) & ~F.isnan(most) & F.forall("embedding", lambda x: x.isNotNull())
     return vectors.filter(F.col("space").isNotNull() & F.col("owner_id").isNotNull() & sound).select(
         "space", "owner_id", F.xxhash64("embedding").alias("vec"), "embedding"
     )
 
 
-def fit_quantisers(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, AdditiveQuantiser]:
+def fit_quantisers(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, AdditiveQuantiser]:
     """One quantiser for each space; first codebook of about sqrt(rows) codewords."""
-    counts = {r["space"]: r["n"] for r in rows.groupBy("space").agg(F.count("*").alias("n")).collect()}
+    rows = usable(vectors)
+    sized = vectors.filter(F.col("space").isNotNull() & (F.size("embedding") == DIMENSION))
+    counts = {r["space"]: r["n"] for r in sized.groupBy("space").agg(F.count("*").alias("n")).collect()}
     spread = 1 << 30
     share = F.lit(None).cast("double")
     for space, n in counts.items():
@@ -188,7 +192,7 @@ def candidate_pairs(vectors: DataFrame, least: float | None, depth: int, probes:
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    models = fit_quantisers(rows)
+    models = fit_quantisers(vectors)
     names = sorted(models)
     shared = spark.sparkContext.broadcast(models)
     asks = F.expr(query) if query else F.lit(True)
@@ -288,15 +292,18 @@ def exact_pairs(vectors: DataFrame, pairs: DataFrame, broadcast_pairs: int = BRO
 
 def nearest_owners(vectors: DataFrame, scored: DataFrame, k: int, query: str | None = None) -> DataFrame:
     """(space, owner, other, cosine, rank) from exact hash pairs; copies of a vector are neighbours of cosine 1."""
-    owners = usable(vectors).select("space", "vec", "owner_id").distinct()
-    asking = owners.filter(F.expr(query)) if query else owners
-    # Of equal vectors only the k + 1 smallest owners can be among the k nearest of anything.
-    shown = owners.withColumn("n", F.row_number().over(Window.partitionBy("space", "vec").orderBy("owner_id"))).filter(F.col("n") <= k + 1)
-    shown = shown.select("space", F.col("vec").alias("member"), F.col("owner_id").alias("other"))
-    if query is None:
-        # A pair is mutual only if both are among the first of their copies.
-        asking = shown.select("space", F.col("member").alias("vec"), F.col("other").alias("owner_id"))
+    rows = usable(vectors).select("space", "vec", "owner_id")
+    # Of equal vectors only the k + 1 smallest owners can be among the k nearest of anything, and
+    # only vectors that are copied or near another one have neighbours.
+    place = F.dense_rank().over(Window.partitionBy("space", "vec").orderBy("owner_id"))
+    shown = rows.withColumn("n", place).filter(F.col("n") <= k + 1).groupBy("space", "vec").agg(F.collect_set("owner_id").alias("owners"))
+    ids = scored.select("space", F.explode(F.array("query", "member")).alias("vec")).distinct().withColumn("near", F.lit(True))
+    shown = shown.join(ids, ["space", "vec"], "left").filter((F.size("owners") > 1) | F.col("near"))
+    shown = cut_lineage(shown.select("space", "vec", F.explode("owners").alias("owner_id")))
+    # A pair is mutual only if both are among the first of their copies.
+    asking = rows.filter(F.expr(query)).distinct() if query else shown
     asking = asking.select("space", F.col("vec").alias("query"), F.col("owner_id").alias("owner"))
+    shown = shown.select("space", F.col("vec").alias("member"), F.col("owner_id").alias("other"))
     near = asking.join(scored.filter("query <> member"), ["space", "query"]).join(shown, ["space", "member"]).select("space", "owner", "other", "cosine")
     copies = asking.join(shown.withColumnRenamed("member", "query"), ["space", "query"]).filter("owner <> other").select("space", "owner", "other", F.lit(1.0).alias("cosine"))
     order = Window.partitionBy("space", "owner").orderBy(F.desc("cosine"), "other")
