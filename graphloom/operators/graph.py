@@ -11,10 +11,10 @@ from graphloom.session import cut_lineage
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node of each connected set of links.
 
-    Alternating large-star and small-star contraction: each round links every node to the
-    smallest of its neighbourhood, so a hub or a long chain shrinks in a logarithmic number
-    of rounds; the messages are pre-aggregated by ``min`` before they are shuffled.  Rows with
-    a null end are ignored; a self-link gives a component of one node.
+    Each round hooks every root to the smallest root it has a link to, shortens the chains of
+    hooks by jumping, and relabels, so that hubs and long chains take a logarithmic number of
+    rounds; messages are pre-aggregated by ``min`` before they are shuffled.  Rows with a null
+    end are ignored; a self-link gives a component of one node.
     """
     edges = links.filter("src is not null and dst is not null").select("src", "dst")
     both = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst")

@@ -65,17 +65,28 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each application."""
+    """Give the executors' Python workers this package, once for each application.
+
+    On a cluster the archive lies in the shared folder of the session, on a local master in a
+    temporary one.
+    """
+    import io
     import zipfile
     from pathlib import Path
 
-    application = spark.sparkContext.applicationId
-    if application in _SHIPPED:
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="graphloom-package-")) / "graphloom.zip"
-    with zipfile.ZipFile(archive, "w") as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, str(path.relative_to(root.parent)))
-    spark.sparkContext.addPyFile(str(archive))
-    _SHIPPED.add(application)
+    ensure_checkpoint_dir(spark)
+    folder = context._jsc.sc().getCheckpointDir().get()
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/graphloom.zip")
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(place.toString())
+    _SHIPPED.add(context.applicationId)
