@@ -20,6 +20,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -283,9 +284,9 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, share: float = SHA
     spark = documents.sparkSession
     rows = eval_items.filter("item_id is not null and item_text is not null").groupBy("item_id").agg(F.min("item_text").alias("item_text")).orderBy("item_id")
     found: DataFrame | None = None
-    items = [(r["item_id"], r["item_text"]) for r in rows.toLocalIterator()]
-    for first in range(0, max(1, len(items)), ITEMS_A_PASS):
-        shared = spark.sparkContext.broadcast(ItemIndex(items[first : first + ITEMS_A_PASS]))
+    stream = rows.toLocalIterator()
+    while (items := [(r["item_id"], r["item_text"]) for r in islice(stream, ITEMS_A_PASS)]) or found is None:
+        shared = spark.sparkContext.broadcast(ItemIndex(items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

@@ -35,6 +35,7 @@ SUFFIX = 5
 COMMON = 120
 #: Most (nickname, name) pairs read off quoted names; more would be no nicknames but noise.
 MOST_NICKNAMES = 20_000
+#: Names of one key that one task compares; larger groups are compared tile by tile.
 BLOCK = 512
 
 #: Words that are no part of a personal name.
@@ -275,7 +276,13 @@ def same_names(nodes: DataFrame) -> DataFrame:
     distinct = parsed.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("name", "kind", "said", "family", "first", "keys", "fine")])
     indexed = distinct.select("rid", "name", "kind", "said", F.explode(F.arrays_zip("keys", "fine")).alias("k")).select("rid", "name", "kind", "said", "k.keys", "k.fine")
     common = indexed.groupBy("keys").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON).select("keys", F.lit(True).alias("common"))
-    blocks = indexed.join(common, "keys", "left").select("rid", "name", "kind", "said", F.when(F.col("common"), F.col("fine")).otherwise(F.col("keys")).alias("key"))
+    blocks = indexed.join(common, "keys", "left").select("rid", "name", "kind", "said", F.when(F.col("common"), F.col("fine")).otherwise(F.col("keys")).alias("key")).distinct()
+    # A key that is still large is cut into tiles, and every pair of tiles is a group of its own.
+    large = blocks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("tiles"))
+    blocks = blocks.join(large, "key", "left").withColumn("tile", F.pmod("rid", F.coalesce("tiles", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)).alias("other")
+    blocks = blocks.select("rid", "name", "kind", "said", "key", "tile", other)
+    blocks = blocks.select("rid", "name", "kind", "said", F.concat_ws("#", "key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "tile")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nick = shared.value
@@ -288,7 +295,7 @@ def same_names(nodes: DataFrame) -> DataFrame:
         key = np.asarray(frame.column("key").to_pylist(), object)
         codes = np.unique(key, return_inverse=True)[1]
         order = np.argsort(codes, kind="stable")
-        rid = np.asarray(frame.column("rid"))
+        rid, tile = np.asarray(frame.column("rid")), np.asarray(frame.column("tile"))
         columns = [frame.column(c).to_pylist() for c in ("name", "kind", "said")]
         made: dict[int, Name] = {}
 
@@ -308,16 +315,17 @@ def same_names(nodes: DataFrame) -> DataFrame:
                 continue
             names = [name(int(i)) for i in group]
             a, b, sure = [], [], []
+            within = len(np.unique(tile[group])) == 1
             for i in range(len(group)):
                 for j in range(i + 1, len(group)):
-                    if rid[group[i]] != rid[group[j]] and (verdict := same(names[i], names[j], nick)):
+                    if rid[group[i]] != rid[group[j]] and (within or tile[group[i]] != tile[group[j]]) and (verdict := same(names[i], names[j], nick)):
                         a.append(int(rid[group[i]]))
                         b.append(int(rid[group[j]]))
                         sure.append(verdict == 2)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], ["src", "dst", "sure"])
 
-    links = cut_lineage(blocks.distinct().repartition(parallelism(spark), "key").mapInArrow(compare, "src bigint, dst bigint, sure boolean").distinct())
+    links = cut_lineage(blocks.repartition(parallelism(spark), "key").mapInArrow(compare, "src bigint, dst bigint, sure boolean").distinct())
     groups = connected_components(links.filter("sure").select("src", "dst"))
     grouped = distinct.select("rid").join(groups.select(F.col("node").alias("rid"), "component"), "rid", "left").select("rid", F.coalesce("component", "rid").alias("group"))
     grouped = cut_lineage(grouped)

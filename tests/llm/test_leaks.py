@@ -9,7 +9,8 @@ def sentence(rng, n=9):
     return " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
 
 
-def test_planted_leaks(frame):
+def test_planted_leaks(frame, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEMS_A_PASS", 50)
     rng = random.Random(9)
     head = "Read the passage below carefully and answer the question that follows it in one short sentence. "
     items = [(i, (head if i % 2 else "") + " ".join(sentence(rng) for _ in range(10))) for i in range(20)]

@@ -59,3 +59,8 @@ def test_common_suffix_is_refined_not_dropped(frame, monkeypatch):
     rows = [(f"n{i:02d}", f"Alexander Kor{'abcdefgh'[i]}lovan", "person", f"pilot in X{i}") for i in range(8)]
     rows.append(("m1", "Alex Kordlovan", "person", "pilot in X3"))
     assert ("m1", "n03") in links(frame, rows)
+
+
+def test_large_keys_are_tiled(frame, monkeypatch):
+    monkeypatch.setattr(names, "BLOCK", 2)
+    assert links(frame, ROWS) == pairs(["a1", "a2", "a3", "a4", "a5"], ["b1", "b2"], ["o1", "o2", "o3"], ["q1", "q2"])
