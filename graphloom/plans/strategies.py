@@ -43,7 +43,7 @@ def flat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Strategy name -> composition, as a session and a data directory give it.
-STRATEGIES = {"basic_local": basic_local, "ppr": passage_rank, "med": subgraph, "hk_tree": flat_tree}
+STRATEGIES = {"basic_local": basic_local, "ppr": passage_rank, "two_hop": subgraph, "flat_tree": flat_tree}
 
 
 @query()
