@@ -35,33 +35,42 @@ def community_signatures(node_state: DataFrame, mode: str = "average") -> DataFr
     return counted.select("community", value.alias("signature"), "n")
 
 
-def assign_by_signature(nodes: DataFrame, communities: DataFrame, capacity: int, reach: int = 16, rounds: int = 4) -> DataFrame:
+def assign_by_signature(nodes: DataFrame, communities: DataFrame, capacity: int, reach: int = 16) -> DataFrame:
     """(node, community, distance): nodes to the community of the closest signature, within a capacity.
 
-    Signatures are compared only where one of four 16-bit parts agrees within the rest's
-    budget, so no node meets all communities.  In rounds every free node proposes to its
-    closest community with room, which accepts its closest proposers.
+    Signatures are compared only where one of eight 8-bit parts agrees, so no node meets all
+    communities.  In rounds every free signature proposes to its closest communities with room,
+    as many as its nodes fill, which accept their closest proposers, until none within reach has
+    room.  Nodes left over come out with a null community.
     """
+    from graphloom.operators.capacity import PATIENCE, accept, before, members_placed
     from graphloom.session import cut_lineage
 
     part = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(c, 8 * i).bitwiseAND(F.lit(255)).alias("p")) for i in range(8)]))
-    left = nodes.select("node", F.col("signature").alias("s"), part(F.col("signature")).alias("k"))
-    right = communities.select("community", "n", F.col("signature").alias("t"), part(F.col("signature")).alias("k"))
-    close = left.join(right, "k").select("node", "community", "n", F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance")).filter(F.col("distance") <= reach).distinct()
-    close = cut_lineage(close)
-    taken = None
-    room = close.select("community", (F.lit(capacity) - F.col("n")).alias("room")).distinct()
-    for _ in range(rounds):
-        free = close if taken is None else close.join(taken.select("node"), "node", "left_anti")
-        used = room if taken is None else room.join(taken.groupBy("community").agg(F.count("*").alias("u")), "community", "left").select("community", (F.col("room") - F.coalesce("u", F.lit(0))).alias("room"))
-        open_ = free.join(used.filter("room > 0"), "community")
-        best = open_.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("distance", "community"))).filter("r = 1")
-        accepted = best.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("distance", "node"))).filter("r <= room").select("node", "community", "distance")
-        accepted = cut_lineage(accepted)
+    members = nodes.groupBy("node").agg(F.min("signature").alias("group")).withColumnRenamed("node", "id")
+    left = cut_lineage(members.filter("group is not null").groupBy("group").agg(F.min("id").alias("first"), F.count("*").alias("m")))
+    right = communities.select(F.col("community").alias("place"), (F.lit(capacity) - F.col("n")).cast("bigint").alias("room"), F.col("signature").alias("t"), part(F.col("signature")).alias("k"))
+    close = left.select("group", part(F.col("group")).alias("k")).join(right, "k").select("group", "place", "room", F.bit_count(F.col("group").bitwiseXOR(F.col("t"))).alias("distance"))
+    close = cut_lineage(close.filter((F.col("distance") <= reach) & (F.col("room") > 0)).distinct())
+    taken, open_, round_ = None, close, 0
+    while True:
+        offers = open_.join(left, "group").withColumn("from", before("room", ["group"], "distance", "place"))
+        if round_ >= PATIENCE:
+            queue = offers.filter("from = 0").select("group", before("m", ["place"], "distance", "first", "group").alias("ahead"))
+            offers = offers.join(queue, "group")
+        else:
+            offers = offers.withColumn("ahead", F.lit(0).cast("bigint"))
+        want = F.least(F.col("from") + F.col("room"), F.col("ahead") + F.col("m")) - F.greatest("from", "ahead")
+        accepted = cut_lineage(accept(offers.withColumn("want", want).filter("want > 0").select("group", "first", "place", "distance", "want", "room")))
         if accepted.isEmpty():
             break
         taken = accepted if taken is None else taken.unionByName(accepted)
-    return taken if taken is not None else close.select("node", "community", "distance").limit(0)
+        gone, used = accepted.groupBy("group").agg(F.sum("got").alias("gone")), accepted.groupBy("place").agg(F.sum("got").alias("used"))
+        left = cut_lineage(left.join(gone, "group", "left").select("group", "first", (F.col("m") - F.coalesce("gone", F.lit(0))).alias("m")).filter("m > 0"))
+        rest = open_.join(used, "place", "left").select("group", "place", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"), "distance").filter("room > 0")
+        open_ = cut_lineage(rest.join(left.select("group"), "group", "left_semi"))
+        round_ += 1
+    return members_placed(members, taken if taken is not None else accepted).select(F.col("id").alias("node"), F.col("place").alias("community"), "distance")
 
 
 def pack_buckets(buckets: DataFrame, least: int, most: int) -> DataFrame:
