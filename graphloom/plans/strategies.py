@@ -26,9 +26,9 @@ def basic_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, score): chunks by personalised PageRank from the retrieved entities."""
-    from graphloom.plans.graphs import chunk_ppr
+    from graphloom.plans.graphs import chunk_ppr_converged
 
-    return chunk_ppr(spark, sf_dir)
+    return chunk_ppr_converged(spark, sf_dir)
 
 
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
