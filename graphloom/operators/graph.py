@@ -150,13 +150,16 @@ def bounded_paths(edges: DataFrame, seeds: DataFrame, cutoff: int = 3) -> DataFr
     """(seed, target, hops, path): the shortest path from each seed to its nearest other seeds within the cutoff.
 
     All seeds are searched together, breadth first; of equal paths the smallest by its nodes is kept.
+    Nodes too far from any seed to end a path within the cutoff are not entered.
     """
-    near = adjacency(edges).select("node", "other")
+    near = cut_lineage(adjacency(edges).select("node", "other"))
     ids = seeds.select("node").distinct()
+    ball = k_hop(edges, ids, cutoff - 1, mode="ball").select(F.col("node").alias("other"), "hop")
     front = ids.select(F.col("node").alias("seed"), "node", F.array("node").alias("path"))
     seen, hits = front.select("seed", "node"), None
     for hop in range(1, cutoff + 1):
-        step = front.join(near, "node").select("seed", F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"))
+        ways = near.join(ball.filter(F.col("hop") <= cutoff - hop).select("other"), "other", "left_semi")
+        step = front.join(ways, "node").select("seed", F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"))
         step = step.join(seen, ["seed", "node"], "left_anti").groupBy("seed", "node").agg(F.min("path").alias("path"))
         front = cut_lineage(step)
         found = front.join(ids, "node", "left_semi").select("seed", F.col("node").alias("target"), F.lit(hop).alias("hops"), "path")

@@ -229,7 +229,7 @@ def label_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bounded_paths(table(spark, sf_dir, "edges"), seeds(spark, sf_dir), 2)
+    return graph.bounded_paths(table(spark, sf_dir, "edges"), seeds(spark, sf_dir), 5)
 
 
 @query(

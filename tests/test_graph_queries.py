@@ -25,3 +25,9 @@ def test_converged_pagerank_equals_the_linear_system(spark, chain):
     chunks = {r.chunk_id: r.score for r in graphs.chunk_ppr_converged(spark, chain).collect()}
     sums = exact[:-1] + exact[1:]
     assert all(math.isclose(chunks[f"c{i}"], (sums[i] - sums.min()) / (sums.max() - sums.min()), abs_tol=1e-5) for i in range(6))
+
+
+def test_seed_paths_reach_five_hops(spark, frame, chain, tmp_path):
+    frame([("entity", 1, "n0"), ("entity", 1, "n5")], "kind string, rank int, id string").write.mode("overwrite").parquet(f"{tmp_path}/retrieval.parquet")
+    got = {(r.seed, r.target): (r.hops, len(r.path)) for r in graphs.seed_paths(spark, chain).collect()}
+    assert got == {("n0", "n5"): (5, 6), ("n5", "n0"): (5, 6)}
