@@ -94,7 +94,7 @@ def encode(text: str | None) -> tuple[int, bytes] | None:
     if not said:
         return None
     votes = [0] * len(LANGUAGES)
-    for number in chain.from_iterable(_VOTES.get(w, ()) for w in said[:400]):
+    for number in chain.from_iterable(_VOTES.get(w, ()) for w in said):
         votes[number] += 1
     language = int(np.argmax(votes))
     words, counts = np.unique(np.fromiter(map(_bucket, said), np.uint32, len(said)), return_counts=True)

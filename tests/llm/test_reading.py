@@ -26,3 +26,10 @@ def test_empty_tables(frame):
     docs, ratings = frame([(1, document(random.Random(1), 3))], "doc_id long, text string"), frame([], "doc_id long, rater string, level int")
     assert reading.reading_levels(docs.limit(0), ratings).count() == 0
     assert reading.reading_levels(docs, ratings).count() == 1
+
+
+def test_language_is_voted_by_the_whole_text():
+    opening = "Der Rat hat in der Stadt und auf dem Land nicht mit der Arbeit begonnen. " * 40
+    body = "The council of the town and the people in the country did not begin with the work. " * 200
+    assert reading.encode(opening)[0] != reading.encode(body)[0]
+    assert reading.encode(opening + body)[0] == reading.encode(body)[0]
