@@ -1,14 +1,17 @@
 """Evaluation passages inside training documents, by q-gram lemma filtering.
 
-Texts are folded to lower-case letters and digits without spaces, so case, accents, markup,
-spacing and line breaks do not matter.  Every q-gram of a document is looked up among those of
-all items at once; shared q-grams are counted in overlapping bands of diagonals, and a region
-stays if its count meets the bound that the edit budget leaves (each edit destroys at most q
-q-grams).  What the retained regions could cover of an item must reach a share of it; then a
-banded word alignment decides how many words the document really carries.
-
-Words inside a stretch that several items share (instruction lines, stock phrases) and runs of
-a few words do not count.
+Texts are folded to lower-case letters and digits of any script without spaces, so case,
+accents, markup, spacing and line breaks do not matter.  Every q-gram of a document is looked
+up among those of all items at once; shared q-grams are counted in overlapping bands of
+diagonals, and a region stays if its count meets the bound that the edit budget leaves (each
+edit destroys at most q q-grams).  What the retained regions could cover of an item must reach
+a share of it; then a banded word alignment decides which words the document really carries.
+
+Two kinds of wording do not count.  Instruction lines: stretches that far more items have than
+have the item's usual wording, so that an item that occurs under several ids keeps its own.
+Stock phrases: words that many documents have in regions although they carry no long run of
+the item; such words count only inside a long run.  Both are counted over all items and all
+documents.  The corpus is read once for each block of items.
 
 Defined results: null and blank texts carry nothing; items without text leak nowhere; repeated
 item rows count once and copies of a document count each.
@@ -24,9 +27,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import cut_lineage
+
 Q = 20
 #: Diagonals of one band; bands overlap by half.
 BAND = 24
@@ -36,34 +42,38 @@ REGION, EDITS = 48, 1
 COVER, SHARE = 0.22, 0.25
 #: A run of fewer aligned words does not count.
 RUN = 6
-#: Without a run of so many words, the runs near each other must cover this share: phrases that
-#: lie scattered over a long text are stock.
-LONG_RUN, NEAR_SHARE = 16, 0.33
-#: A stretch of so many characters in two items is shared wording.
-SHARED = 30
+#: In a run of so many words stock phrases count.
+LONG_RUN = 16
+#: A stretch of so many characters is shared wording if so many times more items have it than have the item's median stretch.
+SHARED, SHARED_TIMES = 30, 3
+#: A document whose regions cover less of an item is no leak of it; a word that this share of the
+#: documents, and so many at least, have without a long run of the item is stock.
+STRAY_COVER, STRAY_SHARE, STRAY_LEAST = 0.15, 5e-4, 4
 #: Items of one pass over the corpus; more items take more passes.
 ITEMS_A_PASS = 5_000
 TABLE_BITS = 22
 
 _TAG = re.compile(r"<[^<>]{1,60}>")
-_WORDS = re.compile(r"[a-z0-9]+")
+#: Scripts that write no spaces give one word a character.
+_WORDS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+")
 _LOWER = bytes(range(256)).lower()
 _DROP = bytes(b for b in range(256) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123))
+_MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff]")
 _MANGLED = re.compile("[ÃÂ][\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]")
 
 
-def plain(text: str) -> bytes:
-    """The text as ASCII, with entities, tags, wrongly decoded letters and accents resolved."""
+def plain(text: str) -> str:
+    """The text in lower case, with entities, tags, wrongly decoded letters and accents resolved."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    if not text.isascii():
-        if _MANGLED.search(text):
-            text = _MANGLED.sub(_mend, text)
-        text = unicodedata.normalize("NFKD", text.casefold())
-        return text.encode("ascii", "ignore")
-    return text.encode("ascii")
+    if text.isascii():
+        return text.lower()
+    if _MANGLED.search(text):
+        text = _MANGLED.sub(_mend, text)
+    text = unicodedata.normalize("NFKD", text.casefold())
+    return text if text.isascii() else _MARKS.sub("", text)
 
 
 def _mend(match: re.Match) -> str:
@@ -77,12 +87,22 @@ def _mend(match: re.Match) -> str:
 
 
 def squeezed(text: str) -> bytes:
-    """Lower-case letters and digits only."""
-    return plain(text).translate(_LOWER, _DROP)
+    """Letters and digits only, one byte each: itself in ASCII, a hash of it in other scripts."""
+    text = plain(text)
+    if text.isascii():
+        return text.encode().translate(_LOWER, _DROP)
+    return one_byte("".join(_WORDS.findall(text)))
+
+
+def one_byte(text: str) -> bytes:
+    if text.isascii():
+        return text.encode()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(codes < 128, codes, 128 + (codes * np.uint32(2654435761) >> np.uint32(25))).astype(np.uint8).tobytes()
 
 
 def words(text: str) -> list[str]:
-    return _WORDS.findall(plain(text).decode("ascii").lower())
+    return _WORDS.findall(plain(text))
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -97,12 +117,16 @@ def grams(data: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """All q-grams of a bounded set of items."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids = [i for i, _ in items]
-        self.words = [words(t) for _, t in items]
-        texts = ["".join(w).encode() for w in self.words]
+    def __init__(self, items: list[tuple[int, str, list[int]]]) -> None:
+        """items: (id, text, places where a stretch of shared wording starts)."""
+        self.ids = [i for i, _, _ in items]
+        self.words = [words(t) for _, t, _ in items]
+        texts = [one_byte("".join(w)) for w in self.words]
         self.lengths = np.array([len(t) for t in texts])
-        self.own = self._own_wording(texts)
+        self.own = [np.ones(len(t), bool) for t in texts]
+        for own, (_, _, shared) in zip(self.own, items):
+            for place in shared:
+                own[place : place + SHARED] = False
         keys, item, place = [], [], []
         for n, text in enumerate(texts):
             if len(text) >= Q:
@@ -123,27 +147,16 @@ class ItemIndex:
         self.present[(self.keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         # the word of each character of an item, and the words of its own
         self.word_at = [np.repeat(np.arange(len(w)), [len(x) for x in w]) for w in self.words]
+        self.first_char = np.cumsum([0, *self.lengths])
+        self.first_word = np.cumsum([0, *(len(w) for w in self.words)])
+        self.word_of = np.concatenate([*(w + low for w, low in zip(self.word_at, self.first_word)), np.empty(0, np.int64)]).astype(np.int64)
         self.own_words = [np.array([o.mean() > 0.5 for o in np.split(own, np.cumsum([len(x) for x in w])[:-1])], bool) if w else np.empty(0, bool) for w, own in zip(self.words, self.own)]
 
-    @staticmethod
-    def _own_wording(texts: list[bytes]) -> list[np.ndarray]:
-        """For each item, the characters outside stretches that another item has too."""
-        seen: dict[bytes, int] = {}
-        for n, text in enumerate(texts):
-            for i in range(len(text) - SHARED + 1):
-                part = text[i : i + SHARED]
-                seen[part] = n if seen.get(part, n) == n else -1
-        out = []
-        for n, text in enumerate(texts):
-            own = np.ones(len(text), bool)
-            for i in range(len(text) - SHARED + 1):
-                if seen[text[i : i + SHARED]] < 0:
-                    own[i : i + SHARED] = False
-            out.append(own)
-        return out
+    def candidates(self, texts: list[bytes], stray: np.ndarray | None = None) -> list[tuple[int, int, list[tuple[int, int, int, int]]]]:
+        """(text number, item number, regions (first and last place in text, in item)).
 
-    def candidates(self, texts: list[bytes]) -> list[tuple[int, int, list[tuple[int, int, int, int]]]]:
-        """(text number, item number, regions (first and last place in text, in item))."""
+        stray: counts, for the words of all items, of texts that share the word but little else of the item.
+        """
         starts = np.zeros(len(texts) + 1, np.int64)
         gap = b"\0" * Q
         np.cumsum([len(t) + Q for t in texts], out=starts[1:])
@@ -165,8 +178,14 @@ class ItemIndex:
         bound = REGION - Q + 1 - EDITS * Q
         # pairs that share too few q-grams in all have no region
         _, inverse, total = np.unique(pair, return_inverse=True, return_counts=True)
-        # nor do pairs whose q-grams, a third of them destroyed, could not cover enough of the item
-        keep = total[inverse] >= np.maximum(bound, COVER / 3 * self.lengths[item])
+        keep = total[inverse] >= bound
+        # pairs whose q-grams, a third of them destroyed, could not cover enough of the item are strays
+        few = keep & (total[inverse] < COVER / 3 * self.lengths[item])
+        if stray is not None and few.any():
+            word = self.word_of[self.first_char[item[few]] + place[few] + Q // 2]
+            word = np.unique(pair[few] << 32 | word) & 0xFFFFFFFF
+            stray += np.bincount(word, minlength=len(stray))
+        keep &= ~few
         pair, spot, item, place = pair[keep], spot[keep], item[keep], place[keep]
         if not len(pair):
             return []
@@ -198,17 +217,18 @@ class ItemIndex:
             places = np.unique(place[hits[low:high]])
             covered[places] += 1
             covered[places + Q] -= 1
-            if (np.cumsum(covered)[: self.lengths[n]] > 0).sum() >= COVER * self.lengths[n]:
+            cover = (np.cumsum(covered)[: self.lengths[n]] > 0).sum()
+            if cover >= COVER * self.lengths[n]:
                 out.append((p // len(self.ids), n, by[p]))
+            elif stray is not None and cover < STRAY_COVER * self.lengths[n]:
+                stray[np.unique(self.word_of[self.first_char[n] + places + Q // 2])] += 1
         return out
 
-    def share(self, text: str, n: int, regions: list[tuple[int, int, int, int]]) -> float:
-        """Share of the item's words that align with the text in runs that count."""
+    def carried(self, text: str, n: int, regions: list[tuple[int, int, int, int]]) -> tuple[list[int], list[int]]:
+        """The item's own words that align with the text: in long runs, and only in shorter runs that count."""
         said, wanted = words(text), self.words[n]
-        if not wanted:
-            return 0.0
         ends = np.cumsum([len(w) for w in said])
-        runs: list[tuple[int, int, list[int]]] = []
+        long, short = np.zeros(len(wanted), bool), np.zeros(len(wanted), bool)
         for low, high, first, last in sorted(set(regions)):
             i0, i1 = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high + Q - 1, side="right"))
             j0, j1 = int(self.word_at[n][first]), int(self.word_at[n][min(last + Q - 1, self.lengths[n] - 1)])
@@ -219,25 +239,11 @@ class ItemIndex:
             for i, j in [*pairs, (1 << 30, 1 << 30)]:
                 if run and (j - run[-1][1] > 3 or i - run[-1][0] > 3):
                     if len(run) >= RUN:
-                        runs.append((a0 + run[0][0], a0 + run[-1][0], [b0 + y for _, y in run]))
+                        own = [b0 + y for _, y in run if self.own_words[n][b0 + y]]
+                        (long if len(own) >= LONG_RUN else short)[own] = True
                     run = []
                 run.append((i, j))
-        if not runs:
-            return 0.0
-        total = self._covered(n, runs)
-        if max(self.own_words[n][w].sum() for _, _, w in runs) < LONG_RUN:
-            span = 2 * len(wanted)
-            near = max(self._covered(n, [r for r in runs if start <= r[0] and r[1] <= start + span]) for start, _, _ in runs)
-            if near < NEAR_SHARE:
-                return 0.0
-        return total
-
-    def _covered(self, n: int, runs: list[tuple[int, int, list[int]]]) -> float:
-        """Share of the item's words that the runs cover, shared wording left out."""
-        matched = np.zeros(len(self.words[n]), bool)
-        for _, _, w in runs:
-            matched[w] = True
-        return float((matched & self.own_words[n]).sum()) / len(self.words[n])
+        return np.flatnonzero(long).tolist(), np.flatnonzero(short & ~long).tolist()
 
 
 def alike(a: str, b: str) -> bool:
@@ -279,28 +285,77 @@ def align(a: list[str], b: list[str], shift: int, width: int = 8) -> list[tuple[
     return pairs[::-1]
 
 
+def shared_wording(items: DataFrame) -> DataFrame:
+    """(item_id, item_text, shared): where stretches start that far more items have than have the item's median stretch."""
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                plain_text = one_byte("".join(words(text)))
+                size = max(0, len(plain_text) - SHARED + 1)
+                keys = [xxhash.xxh3_64_intdigest(plain_text[i : i + SHARED]) - (1 << 63) for i in range(size)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * size, pa.int64()), pa.array(range(size), pa.int32()), pa.array(keys, pa.int64())], ["item_id", "place", "key"])
+
+    found = items.mapInArrow(stretches, "item_id bigint, place int, key bigint")
+    counts = found.groupBy("key").agg(F.count_distinct("item_id").alias("n"))
+    placed = found.join(counts, "key").groupBy("item_id").agg(F.collect_list(F.struct("place", "n")).alias("p"), F.percentile("n", F.lit(0.5)).alias("usual"))
+    shared = placed.select("item_id", F.transform(F.filter("p", lambda x: x["n"] >= SHARED_TIMES * F.col("usual")), lambda x: x["place"]).alias("shared"))
+    return items.join(shared, "item_id", "left").select("item_id", "item_text", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
+
+
 def leaked_items(documents: DataFrame, eval_items: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id): documents that carry at least this share of an item's words."""
     spark = documents.sparkSession
-    rows = eval_items.filter("item_id is not null and item_text is not null").groupBy("item_id").agg(F.min("item_text").alias("item_text")).orderBy("item_id")
+    rows = eval_items.filter("item_id is not null and item_text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("item_text").cast("string").alias("item_text"))
+    rows = shared_wording(rows.groupBy("item_id").agg(F.min("item_text").alias("item_text"))).orderBy("item_id")
     found: DataFrame | None = None
     stream = rows.toLocalIterator()
-    while (items := [(r["item_id"], r["item_text"]) for r in islice(stream, ITEMS_A_PASS)]) or found is None:
-        shared = spark.sparkContext.broadcast(ItemIndex(items))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                docs, hits = [], []
-                for low in range(0, len(texts), 1024):
-                    block = [squeezed(t) if t else b"" for t in texts[low : low + 1024]]
-                    for t, n, regions in index.candidates(block):
-                        if index.share(texts[low + t], n, regions) >= share:
-                            docs.append(low + t)
-                            hits.append(index.ids[n])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(hits, pa.int64())], ["doc_id", "item_id"])
-
-        part = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint")
+    fields = "kind int, doc_id bigint, item_id bigint, n int, long array<int>, short array<int>"
+    while (items := [(r["item_id"], r["item_text"], r["shared"]) for r in islice(stream, ITEMS_A_PASS)]) or found is None:
+        part = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_searcher(spark.sparkContext.broadcast(ItemIndex(items))), fields)
         found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    found = cut_lineage(found)
+    passes = F.greatest(F.lit(1), F.count_distinct("item_id"))
+    read = found.filter("kind = 2").agg((F.sum("n") / passes).alias("read"))
+    # a document without any long run of the item may be a stray too
+    loose = found.filter("kind = 0 and size(long) = 0").select("item_id", F.explode("short").alias("word"), F.lit(1).alias("n"))
+    strays = found.filter("kind = 1").select("item_id", F.col("short")[0].alias("word"), "n").unionByName(loose)
+    stock = strays.groupBy("item_id", "word").agg(F.sum("n").alias("n")).join(F.broadcast(read), F.col("n") >= F.greatest(F.lit(STRAY_LEAST), F.col("read") * STRAY_SHARE), "left_semi")
+    pairs = found.filter("kind = 0").select("doc_id", "item_id", F.col("n").alias("words"), F.size("long").alias("sure"), F.explode_outer("short").alias("word"))
+    stock = stock.select("item_id", "word", F.lit(1).alias("stock"))
+    counted = pairs.join(stock, ["item_id", "word"], "left").groupBy("doc_id", "item_id", "words", "sure").agg(F.count(F.when(F.col("stock").isNull(), F.col("word"))).alias("more"))
+    return counted.filter(F.col("sure") + F.col("more") >= share * F.col("words")).select("doc_id", "item_id").distinct()
+
+
+def _searcher(shared):
+    """Rows of kind 0: a document and an item with the words carried of it; 1: how many documents
+    have a word without the item; 2: how many documents were read for the item that stands first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        stray = np.zeros(len(index.word_of) and int(index.first_word[-1]), np.int64)
+        read = 0
+        for batch in batches:
+            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            read += len(texts)
+            out = []
+            for low in range(0, len(texts), 1024):
+                block = [squeezed(t) if t else b"" for t in texts[low : low + 1024]]
+                for t, n, regions in index.candidates(block, stray):
+                    long, short = index.carried(texts[low + t], n, regions)
+                    if long or short:
+                        out.append((0, ids[low + t], index.ids[n], len(index.words[n]), long, short))
+            yield _batch(out)
+        if read:
+            some = np.flatnonzero(stray)
+            item = np.searchsorted(index.first_word, some, side="right") - 1
+            strays = zip(item.tolist(), (some - index.first_word[item]).tolist(), stray[some].tolist())
+            yield _batch([(1, None, index.ids[n], count, [], [word]) for n, word, count in strays] + [(2, None, index.ids[0] if index.ids else 0, read, [], [])])
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "doc_id", "item_id", "n", "long", "short"])

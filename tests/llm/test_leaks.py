@@ -37,6 +37,26 @@ def test_planted_leaks(frame, monkeypatch):
     assert got == {(1, 0), (2, 2), (3, 3), (4, 4), (9, 0)}
 
 
+def test_repeated_and_foreign_items(frame):
+    rng = random.Random(5)
+    text = " ".join(sentence(rng) for _ in range(8))
+    cyrillic = "".join(chr(0x430 + ord(c) % 32) if c.isalpha() else c for c in " ".join(sentence(rng) for _ in range(8)))
+    items = [(1, text), (2, text), (3, text + " Which of these words is the longest of them all?"), (4, cyrillic), (5, "東京の古い橋は冬の前に石工たちが直したと町の記録に書かれている。" * 2)]
+    docs = [(10, f"{sentence(rng)} {text}"), (11, cyrillic.upper()), (12, sentence(rng)), (13, items[4][1])]
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked_items(frame(docs, "doc_id long, text string"), frame(items, "item_id long, item_text string")).collect()}
+    assert got == {(10, 1), (10, 2), (10, 3), (11, 4), (13, 5)}
+
+
+def test_short_runs_count_unless_they_are_stock(frame):
+    rng = random.Random(6)
+    item = [sentence(rng, 8) for _ in range(8)]
+    apart = " ".join(s + " " + sentence(rng, 30) for s in item[:3])
+    stock = [(100 + i, f"{sentence(rng, 20)} {item[4]} {sentence(rng, 20)} {item[5]}") for i in range(30)]
+    docs = [(1, apart), (2, f"{item[4]} {sentence(rng, 30)} {item[5]} {sentence(rng, 30)} {item[0]}"), *stock]
+    got = {r.doc_id for r in leaks.leaked_items(frame(docs, "doc_id long, text string"), frame([(1, " ".join(item))], "item_id long, item_text string")).collect()}
+    assert got == {1}
+
+
 def test_empty_sides(frame):
     docs, items = frame([(1, "a b")], "doc_id long, text string"), frame([(1, "a b")], "item_id long, item_text string")
     assert leaks.leaked_items(docs.limit(0), items).count() == 0
