@@ -9,7 +9,8 @@ anything apart.
 Different spellings are then compared, not records.  Every part of a name is indexed by its
 suffix of a minimum length, by the suffix of the part read backwards and by its two ends, so
 that no single slip hides all three.  A key that many spellings share is refined with the other
-part of the name, by classes that two spellings of one name always share; a refined key that is
+part of the name, by classes that two spellings of one name share: a first letter or last
+letters, of the given name itself and of those it is a nickname of; a refined key that is
 still large is compared tile by tile, so that nothing is dropped.  Spellings match by the ratio
 of their longest common subsequence and by their parts: order, initials, nicknames,
 abbreviations.  At last records are linked: those of matching spellings and agreeing
@@ -41,7 +42,7 @@ from graphloom.session import cut_lineage, parallelism
 #: Suffixes shorter than this are not indexed; shorter words are keys themselves.
 SUFFIX = 5
 #: Spellings that may share a key before it is refined with the other part of the name.
-COMMON = 200
+COMMON = 50
 #: Spellings of one key that one task compares at a time; larger groups are compared tile by tile.
 BLOCK = 512
 #: Bound of the labelled sample that the kinds are learned from.
@@ -201,7 +202,7 @@ def _same_given(a: str, b: str, nicknames: dict[str, set[str]]) -> int:
     full_a, full_b = nicknames.get(a, {a}), nicknames.get(b, {b})
     if full_a & full_b or a in full_b or b in full_a:
         return 2 if len(full_a) == len(full_b) == 1 else 1
-    if ratio(a, b) >= 0.8 and abs(len(a) - len(b)) <= 2 and (a[0] == b[0] or a[1:3] == b[1:3] or a[0] == b[1] or a[1] == b[0]):
+    if ratio(a, b) >= 0.8 and abs(len(a) - len(b)) <= 2 and (a[0] == b[0] or a[-3:] == b[-3:]):
         return 2
     for x, y in ((a, b), (b, a)):  # a nickname of a misspelt name
         if any(ratio(full, y) >= 0.85 and full[0] == y[0] for full in nicknames.get(x, ())):
@@ -244,12 +245,7 @@ def same(a: Name, b: Name, nicknames: dict[str, set[str]]) -> int:
 
 def _classes(given: str, nicknames: dict[str, set[str]]) -> set[str]:
     """Classes of which two given names that ``_same_given`` accepts share at least one."""
-    out: set[str] = set()
-    for name in (given, *nicknames.get(given, ())):
-        out |= {f"1{name[:1]}", f"1{name[1:2] or name[:1]}"}
-        if len(name) > 2:
-            out.add(f"2{name[1:3]}")
-    return out
+    return {c for name in (given, *nicknames.get(given, ())) for c in (f"1{name[:1]}", f"3{name[-3:]}")}
 
 
 def keys_of(name: Name, nicknames: dict[str, set[str]]) -> dict[str, set[str]]:
@@ -260,7 +256,7 @@ def keys_of(name: Name, nicknames: dict[str, set[str]]) -> dict[str, set[str]]:
     for family, given in name.orders:
         refine.setdefault(family, set()).update(_classes(given[0], nicknames))
         if len(given[0]) > 2:
-            refine.setdefault(given[0], set()).update((f"<{family[:2]}", f"{family[-2:]}>"))
+            refine.setdefault(given[0], set()).add(f"{family[:2]}>{family[-2:]}")
     out: dict[str, set[str]] = {}
     for part, classes in refine.items():
         bases = [f"s:{part[-SUFFIX:]}", f"p:{part[:SUFFIX]}", f"e:{part[:3]}:{part[-3:]}"] if len(part) >= SUFFIX else [f"w:{part}"]

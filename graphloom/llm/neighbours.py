@@ -1,11 +1,13 @@
 """The most similar vectors of every vector, by additive quantisation.
 
-Each unit vector is written as a sum of codewords, one from each of several full-dimensional
-residual codebooks, found by beam search.  The nearest codeword of the first codebook names
-the inverted list a vector lives in; a query visits the lists of its nearest first codewords.
-Inside a list pairs are scored from the codes alone by look-up tables (products of one
-vector's reconstruction with every codeword, added up along the other's codes and divided by
-the stored norms).  Only pairs that pass are reranked on the exact vectors.
+The nearest word of a coarse codebook names the inverted list a vector lives in; what it leaves
+over is written as a sum of codewords, one from each of many small full-dimensional residual
+codebooks, found by a beam search that keeps ``BEAM`` paths through all of them (on tables of
+products of codewords, no residual is ever formed).  A query visits the lists of its nearest
+coarse words.  There pairs are scored from the codes alone: a query's products with all
+codewords are one look-up table, a member's score is the sum of the entries its codes name,
+and the stored norms turn it into a distance.  Only pairs that pass are reranked on the exact
+vectors.
 
 Only codes and 64-bit hashes are shuffled for the search; exact copies of a vector are one
 entry of the index, so a huge group of copies costs no pairs.  The codebooks are fitted on a
@@ -28,15 +30,15 @@ from graphloom.llm.vectors import DIMENSION, sample_units, unit_rows
 from graphloom.session import cut_lineage, parallelism
 
 SAMPLE_ROWS = 16_384
-CODEBOOKS = 16
-CODEWORDS = 256
-#: Paths kept after each codebook; the last number holds for all further ones.
-BEAM = (4, 2, 1)
+CODEBOOKS = 32
+CODEWORDS = 16
+#: Paths kept after each codebook.
+BEAM = 3
 PROBES = 3
 #: Distances between reconstructions may exceed those expected of a pair by this factor.
 SLACK = 1.1
-#: Rows of one block of an inverted list; longer lists are searched block against block.
-BLOCK_ROWS = 4_096
+#: Queries and members of one block of an inverted list; longer lists are searched block against block.
+QUERY_ROWS, BLOCK_ROWS = 512, 1_024
 #: A list expected to hold more rows is split over as many tasks as needed; queries visit all its parts.
 SPLIT_ROWS, MOST_PARTS = 50_000, 256
 #: Candidate pairs up to this count are broadcast for the exact rerank, more are joined by shuffle.
@@ -58,21 +60,23 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class AdditiveQuantiser:
-    """Residual codebooks over the full dimension, with beam-search encoding."""
-
-    def __init__(self, codebooks: list[np.ndarray]) -> None:
-        self.codebooks = codebooks
-        self.sizes = [len(c) for c in codebooks]
-        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.all = np.concatenate(codebooks)
-        self.half = 0.5 * np.einsum("ij,ij->i", self.all, self.all)
-        self.parts = np.ones(self.sizes[0], np.int64)
+    """A coarse codebook and residual codebooks over the full dimension, with beam-search encoding."""
+
+    def __init__(self, first: np.ndarray, books: np.ndarray) -> None:
+        self.first = first
+        self.half_first = 0.5 * np.einsum("ij,ij->i", first, first)
+        self.words = np.ascontiguousarray(books.reshape(-1, books.shape[-1]))
+        self.half = (0.5 * np.einsum("ij,ij->i", self.words, self.words)).reshape(len(books), -1)
+        # products of every codeword with those of one codebook
+        gram = self.words @ self.words.T
+        self.gram = [np.ascontiguousarray(gram[:, m * CODEWORDS : (m + 1) * CODEWORDS]) for m in range(len(books))]
+        self.offsets = np.arange(len(books)) * CODEWORDS
+        self.parts = np.ones(len(first), np.int64)
 
     def split_lists(self, sample: np.ndarray, rows: int) -> None:
         """Parts of each inverted list, by its share of the sample."""
-        half = self.half[: self.sizes[0]]
-        home = np.argmax(sample @ self.codebooks[0].T - half, axis=1)
-        expected = np.bincount(home, minlength=self.sizes[0]) * (rows / max(1, len(sample)))
+        home = np.argmax(sample @ self.first.T - self.half_first, axis=1)
+        expected = np.bincount(home, minlength=len(self.first)) * (rows / max(1, len(sample)))
         self.parts = np.clip(np.ceil(expected / SPLIT_ROWS), 1, MOST_PARTS).astype(np.int64)
 
     def places(self, near: np.ndarray, vec: np.ndarray) -> list[list[int]]:
@@ -88,63 +92,68 @@ class AdditiveQuantiser:
         return out
 
     @classmethod
-    def fit(cls, x: np.ndarray, first: int, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, seed: int = 7) -> "AdditiveQuantiser":
-        books, rest = [], x
+    def fit(cls, x: np.ndarray, first: int, codebooks: int = CODEBOOKS, seed: int = 7) -> "AdditiveQuantiser":
+        coarse, books = kmeans(x, first, 8, seed), np.zeros((codebooks, CODEWORDS, x.shape[1]), np.float32)
+        rest, book = x, coarse
         for m in range(codebooks):
-            book = kmeans(rest, first if m == 0 else codewords, 8 if m == 0 else 5, seed + m)
             half = 0.5 * np.einsum("ij,ij->i", book, book)
             rest = rest - book[np.argmax(rest @ book.T - half, axis=1)]
-            books.append(book)
-        return cls(books)
-
-    def encode(self, x: np.ndarray, firsts: int = PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, as rows of ``all``; squared norm of what is left over; the nearest first codewords)."""
-        codes, left, near = [], [], []
-        for part in np.array_split(x, max(1, -(-len(x) // 2048))):
-            first = part @ self.codebooks[0].T - self.half[: self.sizes[0]]
-            top = _best(first, min(max(firsts, BEAM[0]), self.sizes[0]))
-            near.append(top[:, :firsts])
-            words = top[:, : BEAM[0], None]
-            rest = part[:, None, :] - self.codebooks[0][words[:, :, 0]]
-            for m in range(1, len(self.sizes)):
-                book, low = self.codebooks[m], self.offsets[m]
-                # the error of each path once each codeword is taken from what it leaves
-                error = rest.reshape(-1, part.shape[1]) @ -book.T
-                error += self.half[low : self.offsets[m + 1]]
-                error = error.reshape(len(part), rest.shape[1], -1)
-                if rest.shape[1] > 1:
-                    error += 0.5 * np.einsum("nbd,nbd->nb", rest, rest)[:, :, None]
-                error = error.reshape(len(part), -1)
-                width = min(BEAM[min(m, len(BEAM) - 1)], error.shape[1])
-                best = np.argpartition(error, width - 1, axis=1)[:, :width] if width > 1 else np.argmin(error, axis=1)[:, None]
-                came, word = best // self.sizes[m], best % self.sizes[m]
-                words = np.concatenate([np.take_along_axis(words, came[:, :, None], 1), (word + low)[:, :, None]], axis=2)
-                rest = np.take_along_axis(rest, came[:, :, None], 1) - book[word]
-            error = np.einsum("nbd,nbd->nb", rest, rest)
-            pick = np.argmin(error, axis=1)[:, None]
-            codes.append(np.take_along_axis(words, pick[:, :, None], 1)[:, 0])
-            left.append(np.take_along_axis(error, pick, 1)[:, 0])
-        if not len(x):
-            return np.empty((0, len(self.sizes)), np.int32), np.empty(0, np.float32), np.empty((0, firsts), np.int32)
-        return np.concatenate(codes), np.concatenate(left).astype(np.float32), np.concatenate(near)
-
-    def pack(self, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """One byte string for each vector: first code, other codes, the stored norm."""
-        packed = np.empty(len(codes), self.packing)
-        packed["first"], packed["others"], packed["left"] = codes[:, 0], codes[:, 1:] - self.offsets[1:-1], left
-        return packed
+            book = kmeans(rest, CODEWORDS, 5, seed + m + 1)
+            books[m, : len(book)] = book
+        return cls(coarse, books)
+
+    def encode(self, x: np.ndarray, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+        """(packed codes and norms; the nearest coarse words, nearest first)."""
+        packed, near = [np.empty(0, self.packing)], [np.empty((0, probes), np.int64)]
+        for part in np.array_split(x, max(1, -(-len(x) // 1024))):
+            if not len(part):
+                continue
+            top = _best(part @ self.first.T - self.half_first, min(probes, len(self.first)))
+            rest = part - self.first[top[:, 0]]
+            gain = (rest @ self.words.T).reshape(len(part), len(self.half), CODEWORDS)
+            # cost of a path: half the squared distance of its sum from what is to be written
+            cost = (0.5 * np.einsum("ij,ij->i", rest, rest))[:, None]
+            path, every = np.empty((len(part), 1, 0), np.intp), np.arange(len(part))[:, None]
+            for m in range(len(self.half)):
+                step = cost[:, :, None] + (self.half[m] - gain[:, m])[:, None]
+                for k in range(m):
+                    step += np.take(self.gram[m], path[:, :, k], axis=0)
+                step = step.reshape(len(part), -1)
+                best = np.argpartition(step, BEAM - 1, axis=1)[:, :BEAM]
+                cost = step[every, best]
+                path = np.concatenate([path[every, best // CODEWORDS], (best % CODEWORDS + self.offsets[m])[:, :, None]], axis=2)
+            pick = np.argmin(cost, axis=1)
+            codes = (path[np.arange(len(part)), pick] - self.offsets).astype(np.uint8)
+            out = np.empty(len(part), self.packing)
+            out["first"], out["codes"] = top[:, 0], codes
+            out["left"] = 2 * np.maximum(cost[np.arange(len(part)), pick], 0)
+            full = self.reconstruct(out)
+            out["norm"] = np.einsum("ij,ij->i", full, full)
+            packed.append(out)
+            near.append(top)
+        return np.concatenate(packed), np.concatenate([n for n in near if len(n)] or near)
 
     @property
     def packing(self) -> np.dtype:
-        return np.dtype([("first", "<u2"), ("others", "u1", (len(self.sizes) - 1,)), ("left", "<f4")])
+        """Coarse word, codes, squared norm of the reconstruction and of what is left over."""
+        return np.dtype([("first", "<u2"), ("codes", "u1", (len(self.half),)), ("norm", "<f4"), ("left", "<f4")])
+
+    def numbers(self, packed: np.ndarray) -> np.ndarray:
+        """Rows of ``words`` that a vector is the sum of, besides its coarse word."""
+        return packed["codes"] + self.offsets
+
+    def reconstruct(self, packed: np.ndarray) -> np.ndarray:
+        return self.first[packed["first"]] + self.words[self.numbers(packed)].sum(axis=1)
 
-    def unpack(self, blobs: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(reconstructions, read from the tables of codewords; squared norms left over)."""
-        packed = np.frombuffer(blobs, self.packing)
-        total = self.codebooks[0][packed["first"]]
-        for m in range(1, len(self.sizes)):
-            total += self.codebooks[m][packed["others"][:, m - 1]]
-        return total, packed["left"]
+    def scores(self, queries: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Products (member, query) of reconstructions, summed from the queries' look-up tables."""
+        tables = self.words @ queries.T
+        coarse, which = np.unique(members["first"], return_inverse=True)
+        total = (self.first[coarse] @ queries.T)[which]
+        entry = np.empty_like(total)
+        for rows in self.numbers(members).T:
+            total += np.take(tables, rows, axis=0, out=entry, mode="clip")
+        return total
 
 
 def _best(gain: np.ndarray, count: int) -> np.ndarray:
@@ -210,8 +219,7 @@ def candidate_pairs(vectors: DataFrame, least: float | None, depth: int, probes:
                     continue
                 own = own[np.lexsort((~ask[at[own]], vec[at[own]]))]
                 own = own[np.unique(vec[at[own]], return_index=True)[1]]  # copies within the batch, a query before others
-                codes, left, near = model.encode(x[own], firsts=probes)
-                packed = model.pack(codes, left)
+                packed, near = model.encode(x[own], probes)
                 row, place, home = [], [], []
                 for i, (visits, asking) in enumerate(zip(model.places(near, vec[at[own]]), ask[at[own]].tolist())):
                     visits = visits if asking else visits[:1]
@@ -247,23 +255,25 @@ def candidate_pairs(vectors: DataFrame, least: float | None, depth: int, probes:
         bounds = np.flatnonzero(np.r_[True, np.diff(places) != 0, True])
         for low, high in zip(bounds[:-1], bounds[1:]):
             name = names[places[low] % len(names)]
-            x, left = shared.value[name].unpack(b"".join(blobs[low:high]))
-            size, vec = np.einsum("ij,ij->i", x, x), vecs[low:high]
+            model = shared.value[name]
+            packed, vec = np.frombuffer(b"".join(blobs[low:high]), model.packing), vecs[low:high]
+            size, left = packed["norm"], packed["left"]
             members, queries = np.flatnonzero(flags[low:high] >= 2), np.flatnonzero(flags[low:high] % 2 == 1)
-            for qs in range(0, len(queries), 1024):
-                q = queries[qs : qs + 1024]
+            for qs in range(0, len(queries), QUERY_ROWS):
+                q = queries[qs : qs + QUERY_ROWS]
+                asked = model.reconstruct(packed[q])
                 for ms in range(0, len(members), BLOCK_ROWS):
                     m = members[ms : ms + BLOCK_ROWS]
-                    s = x[q] @ x[m].T
+                    s = model.scores(asked, packed[m])
                     if reach is not None:
                         # |x - y|^2 within SLACK * (reach + both leftovers), sorted to one comparison
-                        bound = 0.5 * (size[q, None] + size[m] - SLACK * (reach + left[q, None] + left[m]))
-                        a, b = np.nonzero(s >= bound)
+                        mine, other = 0.5 * (size[q] - SLACK * (reach + left[q])), 0.5 * (size[m] - SLACK * left[m])
+                        b, a = np.nonzero(s >= other[:, None] + mine)
                     else:
-                        s /= np.sqrt(size[m])
+                        s /= np.sqrt(np.maximum(size[m], 1e-12))[:, None]
                         some = min(depth + 1, len(m))
-                        b = np.argpartition(-s, some - 1, axis=1)[:, :some].ravel()
-                        a = np.repeat(np.arange(len(q)), some)
+                        b = np.argpartition(-s, some - 1, axis=0)[:some].ravel()
+                        a = np.tile(np.arange(len(q)), some)
                     a, b = vec[q[a]], vec[m[b]]
                     apart = a != b
                     if apart.any():
@@ -320,7 +330,7 @@ def mutual_pairs(vectors: DataFrame, k: int = 10, least: float = 0.97) -> DataFr
     return both.filter("n = 2").select("space", "owner_a", "owner_b")
 
 
-def most_similar(vectors: DataFrame, k: int = 10, query: str | None = None, depth: int = 64, probes: int = 8) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 10, query: str | None = None, depth: int = 32, probes: int = 40) -> DataFrame:
     """(space, owner, other, cosine, rank): the k most similar vectors of each query row."""
     found = cut_lineage(candidate_pairs(vectors, None, depth, probes, query).select("space", "query", "member").distinct())
     return nearest_owners(vectors, exact_pairs(vectors, found), k, query)
