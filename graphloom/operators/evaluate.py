@@ -100,3 +100,54 @@ def report(metrics: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("metric").agg(
         F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.median("value"), 6).alias("median"), F.count("value").alias("n")
     )
+
+
+def multi_answer(results: DataFrame) -> DataFrame:
+    """(id, accuracy): whether any line or alternative of the output contains any gold answer; a gold answer without words is in all."""
+    said = F.transform(F.split(F.regexp_replace(F.coalesce("output", F.lit("")), "\\|", "\n"), "\n"), normal_answer)
+    rows = results.select("id", said.alias("p"), golds(F.col("answer")).alias("g")).distinct()
+    hit = F.exists("p", lambda p: F.exists("g", lambda g: F.contains(p, g)))
+    return rows.groupBy("id").agg(F.max(hit.cast("int")).alias("accuracy"))
+
+
+def bleu4(results: DataFrame) -> DataFrame:
+    """(id, bleu4): geometric mean of clipped 1- to 4-gram precisions with brevity penalty, the best over the gold answers.
+
+    An n-gram order without a hit counts 0.1 hits; without any common word the score is 0.
+    """
+    rows = results.select("id", answer_words(normal_answer(F.col("output"))).alias("pw"), F.explode(golds(F.col("answer"))).alias("g")).distinct()
+    rows = rows.withColumn("gw", answer_words(F.col("g")))
+
+    def grams(words: str, n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    def hits(n: int) -> Column:
+        count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+        return F.aggregate(F.array_distinct(f"p{n}"), F.lit(0), lambda s, w: s + F.least(count(F.col(f"p{n}"), w), count(F.col(f"g{n}"), w)))
+
+    logs = F.lit(0.0)
+    for n in range(1, 5):
+        rows = rows.withColumns({f"p{n}": grams("pw", n), f"g{n}": grams("gw", n)})
+        rows = rows.withColumn(f"h{n}", hits(n))
+        logs = logs + F.log(F.when(F.col(f"h{n}") > 0, F.col(f"h{n}").cast("double")).otherwise(0.1) / F.greatest(F.lit(1), F.size(f"p{n}")))
+    penalty = F.when(F.size("pw") >= F.size("gw"), 1.0).otherwise(F.exp(1 - F.try_divide(F.size("gw"), F.size("pw"))))
+    value = F.when(F.col("h1") == 0, 0.0).otherwise(F.exp(logs / 4) * penalty)
+    return rows.groupBy("id").agg(F.round(F.max(value), 4).alias("bleu4"))
+
+
+def by_mode(results: DataFrame) -> DataFrame:
+    """(mode, n, em, accuracy): averages times 100 for each mode, letter case aside."""
+    rows = results.select("id", F.coalesce(F.lower("mode"), F.lit("")).alias("mode"), normal_answer(F.col("output")).alias("p"), golds(F.col("answer")).alias("g")).distinct()
+    scored = rows.select("id", "mode", F.exists("g", lambda g: g == F.col("p")).cast("int").alias("em"), F.exists("g", lambda g: (g != "") & F.contains(F.col("p"), g)).cast("int").alias("acc"))
+    one = scored.groupBy("id", "mode").agg(F.max("em").alias("em"), F.max("acc").alias("acc"))
+    return one.groupBy("mode").agg(F.count("*").alias("n"), F.round(100 * F.avg("em"), 6).alias("em"), F.round(100 * F.avg("acc"), 6).alias("accuracy"))
+
+
+#: How the answers of a dataset are scored.
+DATASET_MODES = {"hotpotqa": "short-form", "multihop-rag": "short-form", "popqa": "multi-short-form", "alce": "long-asqa", "quality": "close-set"}
+
+
+def mode_of_dataset(name: str) -> str:
+    """How a dataset's answers are scored, letter case aside; unknown ones are short-form."""
+    return "long-narrative" if "narrative" in name.lower() else DATASET_MODES.get(name.lower(), "short-form")

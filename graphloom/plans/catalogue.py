@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators import hierarchy
-from graphloom.plans import documents, graphs, more, search, strategies, queries as _queries  # noqa: F401  (they register)
+from graphloom.plans import build, documents, graphs, more, search, strategies, queries as _queries  # noqa: F401  (they register)
 from graphloom.plans.registry import QUERIES, SQL
 from graphloom.session import table
 

@@ -105,3 +105,17 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     found = lines.filter("value like '<edge %'")
     part = lambda p: text(F.regexp_extract("value", p, 1))
     return nodes, found.select(part('source="([^"]*)"').alias("src"), part('target="([^"]*)"').alias("dst"), F.regexp_extract("value", '<data key="w">([^<]*)<', 1).try_cast("double").alias("weight"))
+
+
+def save_tree(links: DataFrame, path: str) -> None:
+    """(node_id, parent) rows of a tree: its leaves and its inner nodes in folders of their own."""
+    key = lambda c: F.lower(F.trim(c))
+    parents = links.filter("parent is not null").select(key(F.col("parent")).alias("_k")).distinct()
+    keyed = links.withColumn("_k", key(F.col("node_id")))
+    keyed.join(parents, "_k", "left_anti").drop("_k").write.mode("overwrite").parquet(f"{path}/leaves")
+    keyed.join(parents, "_k", "left_semi").drop("_k").write.mode("overwrite").parquet(f"{path}/inner")
+
+
+def load_tree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(leaves, inner nodes) of a saved tree."""
+    return spark.read.parquet(f"{path}/leaves"), spark.read.parquet(f"{path}/inner")
