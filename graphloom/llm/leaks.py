@@ -44,6 +44,8 @@ COVER, SHARE = 0.22, 0.25
 RUN = 6
 #: In a run of so many words stock phrases count.
 LONG_RUN = 16
+#: Words around a region that are aligned with it.
+REACH = 12
 #: A stretch of so many characters is shared wording if so many times more items have it than have the item's median stretch.
 SHARED, SHARED_TIMES = 30, 3
 #: A document whose regions cover less of an item is no leak of it; a word that this share of the
@@ -224,19 +226,30 @@ class ItemIndex:
                 stray[np.unique(self.word_of[self.first_char[n] + places + Q // 2])] += 1
         return out
 
-    def carried(self, text: str, n: int, regions: list[tuple[int, int, int, int]]) -> tuple[list[int], list[int]]:
-        """The item's own words that align with the text: in long runs, and only in shorter runs that count."""
-        said, wanted = words(text), self.words[n]
-        ends = np.cumsum([len(w) for w in said])
-        long, short = np.zeros(len(wanted), bool), np.zeros(len(wanted), bool)
+    def segments(self, said: list[str], ends: np.ndarray, n: int, regions: list[tuple[int, int, int, int]]) -> tuple[list[str], list[int], list[int], list[int], bool]:
+        """What an alignment needs of a text: the words around each region, four numbers a region (first word
+        in the text, first and last word in the item, shift); the item's own words inside regions that may
+        hold a long run, and only inside shorter ones; and whether no region is long."""
+        parts, numbers, longest = [], [], 0
+        long, short = np.zeros(len(self.words[n]), bool), np.zeros(len(self.words[n]), bool)
         for low, high, first, last in sorted(set(regions)):
             i0, i1 = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high + Q - 1, side="right"))
             j0, j1 = int(self.word_at[n][first]), int(self.word_at[n][min(last + Q - 1, self.lengths[n] - 1)])
-            reach = 12
-            a0, b0 = max(0, i0 - reach), max(0, j0 - reach)
-            pairs = align(said[a0 : i1 + reach + 1], wanted[b0 : j1 + reach + 1], (i0 - a0) - (j0 - b0))
+            longest = max(longest, j1 - j0 + 1)
+            (long if j1 - j0 + 1 >= LONG_RUN - 4 else short)[j0 : j1 + 1] = True
+            a0, b0 = max(0, i0 - REACH), max(0, j0 - REACH)
+            parts.append(" ".join(said[a0 : i1 + REACH + 1]))
+            numbers += [a0, b0, j1 + REACH + 1, (i0 - a0) - (j0 - b0)]
+        own = self.own_words[n]
+        return parts, numbers, np.flatnonzero(long & own).tolist(), np.flatnonzero(short & ~long & own).tolist(), longest < LONG_RUN
+
+    def carried(self, n: int, parts: list[str], numbers: list[int]) -> tuple[list[int], list[int]]:
+        """The item's own words that align with the segments: in long runs, and only in shorter runs that count."""
+        wanted = self.words[n]
+        long, short = np.zeros(len(wanted), bool), np.zeros(len(wanted), bool)
+        for part, (a0, b0, end, shift) in zip(parts, zip(*[iter(numbers)] * 4)):
             run: list[tuple[int, int]] = []
-            for i, j in [*pairs, (1 << 30, 1 << 30)]:
+            for i, j in [*align(part.split(" "), wanted[b0:end], shift), (1 << 30, 1 << 30)]:
                 if run and (j - run[-1][1] > 3 or i - run[-1][0] > 3):
                     if len(run) >= RUN:
                         own = [b0 + y for _, y in run if self.own_words[n][b0 + y]]
@@ -309,27 +322,43 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, share: float = SHA
     rows = eval_items.filter("item_id is not null and item_text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("item_text").cast("string").alias("item_text"))
     rows = shared_wording(rows.groupBy("item_id").agg(F.min("item_text").alias("item_text"))).orderBy("item_id")
     found: DataFrame | None = None
+    models: list = []
     stream = rows.toLocalIterator()
-    fields = "kind int, doc_id bigint, item_id bigint, n int, long array<int>, short array<int>"
     while (items := [(r["item_id"], r["item_text"], r["shared"]) for r in islice(stream, ITEMS_A_PASS)]) or found is None:
-        part = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_searcher(spark.sparkContext.broadcast(ItemIndex(items))), fields)
+        models.append(spark.sparkContext.broadcast(ItemIndex(items)))
+        part = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_searcher(models[-1]), FIELDS)
+        part = part.withColumn("block", F.lit(len(models) - 1))
         found = part if found is None else found.unionByName(part)
     found = cut_lineage(found)
-    passes = F.greatest(F.lit(1), F.count_distinct("item_id"))
-    read = found.filter("kind = 2").agg((F.sum("n") / passes).alias("read"))
-    # a document without any long run of the item may be a stray too
-    loose = found.filter("kind = 0 and size(long) = 0").select("item_id", F.explode("short").alias("word"), F.lit(1).alias("n"))
+    read = found.filter("kind = 2").agg((F.sum("n") / len(models)).alias("read"))
+    # a document without any long region of the item may be a stray too
+    loose = found.filter("kind = 0 and loose").select("item_id", F.explode(F.concat("long", "short")).alias("word"), F.lit(1).alias("n"))
     strays = found.filter("kind = 1").select("item_id", F.col("short")[0].alias("word"), "n").unionByName(loose)
     stock = strays.groupBy("item_id", "word").agg(F.sum("n").alias("n")).join(F.broadcast(read), F.col("n") >= F.greatest(F.lit(STRAY_LEAST), F.col("read") * STRAY_SHARE), "left_semi")
-    pairs = found.filter("kind = 0").select("doc_id", "item_id", F.col("n").alias("words"), F.size("long").alias("sure"), F.explode_outer("short").alias("word"))
-    stock = stock.select("item_id", "word", F.lit(1).alias("stock"))
-    counted = pairs.join(stock, ["item_id", "word"], "left").groupBy("doc_id", "item_id", "words", "sure").agg(F.count(F.when(F.col("stock").isNull(), F.col("word"))).alias("more"))
-    return counted.filter(F.col("sure") + F.col("more") >= share * F.col("words")).select("doc_id", "item_id").distinct()
+    stock = cut_lineage(stock.select("item_id", "word", F.lit(1).alias("stock")))
+    # only what the regions could carry without stock phrases is aligned
+    likely = _counted(found.filter("kind = 0"), stock).filter(F.col("carried") >= SPARE * share * F.col("n")).select("doc_id", "item_id")
+    pairs = found.filter("kind = 0").join(likely, ["doc_id", "item_id"], "left_semi")
+    aligned = pairs.select("block", "doc_id", "item_id", "n", "parts", "numbers").mapInArrow(_aligner(models), "doc_id bigint, item_id bigint, n int, long array<int>, short array<int>")
+    return _counted(aligned, stock).filter(F.col("carried") >= share * F.col("n")).select("doc_id", "item_id").distinct()
+
+
+#: A pair is aligned if its regions reach this part of the share; they may miss words at their ends.
+SPARE = 0.7
+FIELDS = "kind int, doc_id bigint, item_id bigint, n int, long array<int>, short array<int>, loose boolean, parts array<string>, numbers array<int>"
+
+
+def _counted(pairs: DataFrame, stock: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n, carried): words in long runs, and those in short runs that are no stock."""
+    words = pairs.select("doc_id", "item_id", "n", F.size("long").alias("sure"), F.explode_outer("short").alias("word"))
+    more = F.count(F.when(F.col("stock").isNull(), F.col("word")))
+    counted = words.join(stock, ["item_id", "word"], "left").groupBy("doc_id", "item_id", "n", "sure").agg(more.alias("more"))
+    return counted.groupBy("doc_id", "item_id", "n").agg(F.max(F.col("sure") + F.col("more")).alias("carried"))
 
 
 def _searcher(shared):
-    """Rows of kind 0: a document and an item with the words carried of it; 1: how many documents
-    have a word without the item; 2: how many documents were read for the item that stands first."""
+    """Rows of kind 0: a document and an item with what an alignment needs; 1: how many documents
+    have a word without the item; 2: how many documents were read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -341,21 +370,40 @@ def _searcher(shared):
             out = []
             for low in range(0, len(texts), 1024):
                 block = [squeezed(t) if t else b"" for t in texts[low : low + 1024]]
+                split: dict[int, tuple[list[str], np.ndarray]] = {}
                 for t, n, regions in index.candidates(block, stray):
-                    long, short = index.carried(texts[low + t], n, regions)
-                    if long or short:
-                        out.append((0, ids[low + t], index.ids[n], len(index.words[n]), long, short))
+                    if t not in split:
+                        said = words(texts[low + t])
+                        split = {t: (said, np.cumsum([len(w) for w in said]))}
+                    parts, numbers, long, short, loose = index.segments(*split[t], n, regions)
+                    out.append((0, ids[low + t], index.ids[n], len(index.words[n]), long, short, loose, parts, numbers))
             yield _batch(out)
         if read:
             some = np.flatnonzero(stray)
             item = np.searchsorted(index.first_word, some, side="right") - 1
             strays = zip(item.tolist(), (some - index.first_word[item]).tolist(), stray[some].tolist())
-            yield _batch([(1, None, index.ids[n], count, [], [word]) for n, word, count in strays] + [(2, None, index.ids[0] if index.ids else 0, read, [], [])])
+            yield _batch([(1, None, index.ids[n], count, [], [word], False, [], []) for n, word, count in strays] + [(2, None, None, read, [], [], False, [], [])])
 
     return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()))
     columns = list(zip(*rows)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "doc_id", "item_id", "n", "long", "short"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "doc_id", "item_id", "n", "long", "short", "loose", "parts", "numbers"])
+
+
+def _aligner(models: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[int, dict[int, int]] = {}
+        for batch in batches:
+            block, _, items, _, parts, numbers = (c.to_pylist() for c in batch.columns)
+            found = []
+            for b, item, p, v in zip(block, items, parts, numbers):
+                index = models[b].value
+                place = at.setdefault(b, {i: n for n, i in enumerate(index.ids)})[item]
+                found.append(index.carried(place, p, v))
+            lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), *lists], ["doc_id", "item_id", "n", "long", "short"])
+
+    return run
