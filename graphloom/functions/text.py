@@ -36,7 +36,7 @@ def clean(c: Column, ascii_only: bool = True) -> Column:
     for name, mark in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(mark))
     keep = "[^A-Za-z0-9 ]" if ascii_only else "[^\\p{L}\\p{N} ]"
-    return strip(F.lower(F.regexp_replace(F.regexp_replace(c, "[\\x00-\\x1f\\x7f]", ""), keep, " ")))
+    return strip(F.lower(F.regexp_replace(F.regexp_replace(c, "[\\x00-\\x1f\\x7f-\\x9f]", ""), keep, " ")))
 
 
 def normal_answer(c: Column) -> Column:

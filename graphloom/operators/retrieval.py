@@ -114,8 +114,8 @@ def max_similarity(vectors: DataFrame, queries: DataFrame, doc_col: str, vec_col
 
 
 def tfidf(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf): counts of words of two and more characters, lower case."""
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("([a-z0-9]{2,})"), F.lit(1))
+    """(id, term, tf): counts of words of two and more letters, digits or underscores of any script, lower case."""
+    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("([\\p{L}\\p{N}_]{2,})"), F.lit(1))
     return texts.select(F.col(id_col).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 

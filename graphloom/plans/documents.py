@@ -30,7 +30,7 @@ def doc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT doc_id, md5(regexp_replace(lower(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(text, '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
-    '[\\x00-\\x1f\\x7f]', '', 'g'), '[^A-Za-z0-9 ]', ' ', 'g')), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) AS cleaned FROM documents"""
+    '[\\x00-\\x1f\\x7f-\x9f]', '', 'g'), '[^A-Za-z0-9 ]', ' ', 'g')), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) AS cleaned FROM documents"""
 )
 def clean_str(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.clean(F.col("text"))).alias("cleaned"))

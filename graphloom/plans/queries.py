@@ -202,9 +202,9 @@ def lsh_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT DISTINCT id, text FROM (SELECT chunk_id AS id, content AS text FROM chunks) WHERE id IS NOT NULL), q AS (SELECT DISTINCT id, question AS text FROM results WHERE id % 50 = 0),
-    tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM c) GROUP BY 1, 2),
+    tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM c) GROUP BY 1, 2),
     idf AS (SELECT term, ln((1 + (SELECT count(DISTINCT id) FROM c)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
-    qt AS (SELECT id, term, count(*) * any_value(idf) AS w FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM q) JOIN idf USING (term) GROUP BY 1, 2),
+    qt AS (SELECT id, term, count(*) * any_value(idf) AS w FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM q) JOIN idf USING (term) GROUP BY 1, 2),
     d AS (SELECT id, term, tf * idf AS w FROM tf JOIN idf USING (term)), dl AS (SELECT id, sqrt(sum(w * w)) AS l FROM d GROUP BY 1), ql AS (SELECT id, sqrt(sum(w * w)) AS l FROM qt GROUP BY 1),
     h AS (SELECT qt.id AS query, d.id, sum(qt.w * d.w) AS p FROM qt JOIN d USING (term) GROUP BY 1, 2), s AS (SELECT query, h.id, round(p / (dl.l * ql.l), 6) AS score FROM h JOIN dl ON dl.id = h.id JOIN ql ON ql.id = query)
     SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3"""
