@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import hash_id, strip, tokens
 
 #: Where texts are cut, the strongest first.
-SEPARATORS = ["\n\n", "\r\n", "\n", "。", "．", ". ", "! ", "? ", "; ", ", ", " "]
+SEPARATORS = ["\n\n", "\r\n\r\n", "\n", "\r\n", "。", "．", ".", "！", "!", "？", "?", " ", "\t", "\u3000", "\u200b"]
 
 
 def dedup_documents(documents: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
