@@ -1,5 +1,9 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import clusters, neighbours
 
@@ -144,6 +148,74 @@ def test_long_lists_are_split_without_loss(frame, monkeypatch):
     assert {tuple(r) for r in clusters.clusters(make(frame, rows)).collect()} == whole and len(whole) == 300
 
 
+def test_records_without_a_pivot_meet_whatever_their_nearest_pivots(frame, monkeypatch):
+    # pairs of 36 degrees in noise: hardly any shares a pivot among the five nearest of each
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(40):
+        axes = np.linalg.qr(rng.normal(size=(64, 6)))[0].T
+        rows += [(f"g{g:02d}_{i}", e) for i, e in enumerate(chain(axes, 36))]
+    rows += [(f"n{i:04d}", rng.normal(size=64)) for i in range(1500)]
+    table = make(frame, [(o, "node", 0, e) for o, e in rows])
+    want = {(o, f"{o[:3]}_0") for o, _ in rows if o[0] == "g"}
+    assert {tuple(r) for r in clusters.clusters(table).select("owner_id", "cluster_key").collect()} == want
+    monkeypatch.setattr(clusters, "LEAST_SIDE", 64)
+    assert {tuple(r) for r in clusters.clusters(table).select("owner_id", "cluster_key").collect()} == want
+
+
+def chain(axes, degrees):
+    """Unit vectors of which each is similar to the next only: every step leaves the plane of the one before."""
+    out = [axes[0]]
+    for axis in axes[1:]:
+        out.append(np.cos(np.radians(degrees)) * out[-1] + np.sin(np.radians(degrees)) * axis)
+    return out
+
+
+def test_many_copies_leave_their_neighbours_a_pivot(frame):
+    e, f = np.linalg.qr(np.random.default_rng(0).normal(size=(64, 2)))[0].T
+    kinds = [np.cos(np.radians(d)) * e + np.sin(np.radians(d)) * f for d in (0, 30, 60)]
+    table = make(frame, [(f"c{k}", "node", level, x) for level in range(3) for k, x in enumerate(kinds)])
+    many = table.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40_000)))).withColumn("owner_id", F.concat("owner_id", F.format_string("_%05d", "n")))
+    got = clusters.clusters(many).groupBy("level", "cluster_key").count().collect()
+    assert sorted(map(tuple, got)) == [(level, "c0_00001", 120_000) for level in range(3)]
+
+
+def test_visitors_of_a_list_leave_one_link_each():
+    # all visit the list, and every two of them are similar
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    x = np.array([centre + 0.3 * rng.normal(size=64) for _ in range(4000)], np.float32)
+    pivot = clusters.Pivots(np.array([7]), x[:1] / np.linalg.norm(x[:1]), 0.80)
+    n = len(x)
+    role = np.r_[np.full(1000, clusters.MEMBER), np.full(n - 1000, clusters.VISITOR)]
+    packed = clusters.packed_units(x / np.linalg.norm(x, axis=1)[:, None])
+    columns = [np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), role.astype(np.int32), np.arange(100, n + 100)]
+    task = pa.table([*map(pa.array, columns), pa.array([r.tobytes() for r in packed], pa.binary())], ["level", "list", "part", "role", "vec", "x"])
+    tracemalloc.start()
+    links = pa.Table.from_batches(clusters.connect_rows(task, {0: pivot}))
+    assert links.num_rows == n and tracemalloc.get_traced_memory()[1] < 60e6
+    assert (clusters.tile_groups(packed, None, 0.80) == 0).all() and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_tiles_group_like_all_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.array(chain(np.linalg.qr(rng.normal(size=(64, 8)))[0].T, 35)) for _ in range(50)])
+    packed = clusters.packed_units(x)
+    monkeypatch.setattr(clusters, "ASK_ROWS", 16)
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 48)
+    monkeypatch.setattr(clusters, "HELD_PAIRS", 20)
+    assert (clusters.tile_groups(packed, None, 0.80) == np.arange(400) // 8 * 8).all()
+    order = rng.permutation(400)
+    group = clusters.tile_groups(packed[order[:150]], packed[order[150:]], 0.80)
+    apart = (order[:, None] < 400) & ((np.arange(400) < 150)[:, None] != (np.arange(400) < 150))
+    link = (x[order] @ x[order].T >= 0.80) & apart
+    reach = np.eye(400, dtype=bool) | link
+    for _ in range(9):
+        reach = reach.astype(np.float32) @ reach.astype(np.float32) > 0
+    assert (group == reach.argmax(axis=1)).all()
+
+
 def test_copies_form_a_group_and_are_described(frame):
     e = np.random.default_rng(0).normal(size=64)
     table = make(frame, [(f"c{i}", "node", 1, e) for i in range(6)])
