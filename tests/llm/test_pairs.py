@@ -58,3 +58,35 @@ def test_held_out_accuracy():
     model = pairs.PairClassifier([(q, t) for _, q, o, a in rows(400) for t in (o, a)])
     assert model.held_out > 0.9
     assert model.answer_defect("q", "null|") == "empty" and model.answer_defect("q", "null|the signal") is None
+
+
+def test_every_row_is_counted(frame):
+    # each row has a word of its own in prompt and output; none looks sound, so that the fit itself is small
+    table = [(i, f"Why did wa{i}x run?", f"Why did wa{i}x run", "") for i in range(6_500)]
+    model = pairs.fit_classifier(frame(table, "id long, question string, output string, answer string"))
+    assert all(f"wa{i}x" in model.known for i in range(6_500))
+
+
+def test_fit_of_spread_blocks(spark):
+    table = sorted({(q, t) for _, q, o, a in rows(120) for t in (o, a)})
+    blocks = [(-1, []), *((n, [(q, None) for q in sorted({q for q, _ in table[n::3]})] + table[n::3]) for n in range(3))]
+    here, spread = pairs.PairClassifier(pairs.Blocks(blocks)), pairs.PairClassifier(pairs.SpreadBlocks(spark.sparkContext.parallelize(blocks, 2)))
+    assert here.table == spread.table and here.known == spread.known
+    assert abs(here.weights - spread.weights).max() < 0.01 and abs(here.thresholds - spread.thresholds).max() < 0.01
+
+
+def test_runs_of_all_blocks_are_counted():
+    rng = random.Random(3)
+    table = [(f"q{i}?", " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) + ".") for i in range(400)]
+    blocks = pairs.Blocks((n, table[n::4]) for n in range(4))
+    for least in (2, 4, 9):
+        seen = {}
+        for q, a in table:
+            said = pairs.words_of(a)
+            for i in range(len(said) - 4):
+                seen.setdefault(tuple(said[i : i + 5]), set()).add((q, a))
+        want = {run for run, found in seen.items() if len(found) >= least}
+        cells = blocks.keyed(pairs._cell_counts, lambda a, b: a + b, lambda item: pairs._reached(least, item))
+        cells = pairs.np.concatenate([cells[i] for i in range(pairs.CELL_PARTS)])
+        got = set(blocks.routed(pairs._run_pairs, lambda parts: pairs._frequent(least, parts), cells).tolist())
+        assert want and got == {int(pairs._runs([list(run)])[0][0]) for run in want}
