@@ -94,6 +94,69 @@ def test_beam_is_no_worse_than_greedy(monkeypatch):
     assert wide <= q.encode(x)[0]["left"].mean()
 
 
+def test_beam_keeps_the_best_paths():
+    x = unit(planted(3, 10, 60, 400)).astype(np.float32)
+    q = neighbours.AdditiveQuantiser.fit(x, 16, codebooks=6)
+    rest = x[:50] - q.first[q.encode(x[:50])[0]["first"]]
+    codes, cost = q.beam(rest)
+    books = q.words.reshape(6, neighbours.CODEWORDS, 64)
+    for r, own, least in zip(rest, codes, cost):
+        paths = [(0.0, ())]
+        for m in range(6):
+            paths = [p + (w,) for _, p in paths for w in range(neighbours.CODEWORDS)]
+            paths = sorted((0.5 * ((r - sum(books[k][w] for k, w in enumerate(p))) ** 2).sum(), p) for p in paths)[: neighbours.BEAM]
+        assert tuple(own) == paths[0][1] and abs(least - paths[0][0]) < 1e-5
+
+
+def test_two_query_rows_of_a_list_are_given_once(frame):
+    centre = np.random.default_rng(6).normal(size=64)
+    shake = np.random.default_rng(7).normal(size=(40, 64))
+    table = make(frame, [(f"g{i:02d}", "node", 0, centre + 0.02 * e) for i, e in enumerate(shake)] + [(f"far{i}", "node", 0, -centre + 3 * e) for i, e in enumerate(shake)])
+    model = neighbours.fit_quantisers(table)["node"]
+    rows = neighbours.usable(table).filter("owner_id like 'g%'").collect()
+    homes = model.encode(unit([("", r.embedding) for r in rows]).astype(np.float32))[0]["first"]
+    home = {r.vec: h for r, h in zip(rows, homes)}
+    got = [(r["query"], r.member) for r in neighbours.candidate_pairs(table, 0.97, 0).collect()]
+    same = [(a, b) for a, b in got if a in home and b in home and home[a] == home[b]]
+    assert same and len({frozenset(p) for p in same}) == len(same)
+
+
+def test_a_list_is_left_out_only_if_it_holds_nothing_near():
+    rng = np.random.default_rng(9)
+    x = unit([("", e) for e in rng.normal(size=(3000, 64))]).astype(np.float32)
+    q = neighbours.AdditiveQuantiser.fit(x, 64, codebooks=2)
+    reach = 0.06
+    step = rng.normal(size=x.shape)
+    y = x + 0.999 * reach**0.5 * step / np.linalg.norm(step, axis=1)[:, None]
+    y = (y / np.linalg.norm(y, axis=1)[:, None]).astype(np.float32)
+    near, home = q.encode(x)[1], q.encode(y)[1][:, 0]
+    visited = q.reached(x, near, reach)
+    close = ((x - y) ** 2).sum(axis=1) <= reach
+    there = (near == home[:, None]) & close[:, None]
+    assert there[:, 1:].sum() > 100 and visited[there].all() and visited[:, 0].all()
+    # words far apart, rows at one of them
+    assert q.reached(q.first, q.encode(q.first)[1], 1e-4).sum() < 1.5 * len(q.first)
+
+
+def test_cosines_are_summed_in_order():
+    x, y = np.random.default_rng(1).normal(size=(2, 30, 64)).astype(np.float32)
+
+    def dot(a, b):
+        total = 0.0
+        for p, q in zip(a.tolist(), b.tolist()):
+            total += p * q
+        return total
+
+    assert neighbours.exact_cosine(x, y).tolist() == [dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 for a, b in zip(x, y)]
+
+
+def test_vectors_with_null_or_nan_take_no_part(frame):
+    good = [float(i + 1) for i in range(64)]
+    rows = [("a", good), ("b", [2 * e for e in good]), ("c", [None, *good[1:]]), ("d", [float("nan"), *good[1:]]), ("e", [None, float("nan"), *good[2:]]), ("f", [None] * 64)]
+    table = frame([(o, "node", "node", 0, e, "x") for o, e in rows], SCHEMA)
+    assert [tuple(r) for r in neighbours.mutual_pairs(table).collect()] == [("node", "a", "b")]
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_groups_equal_components(frame, seed):
     rng = np.random.default_rng(seed)
