@@ -56,3 +56,12 @@ def test_rounding_as_spark(frame):
 
     x = [0.1234565, 0.0000005, 0.9999995, 0.25, 0.1234575, 0.3000005, 1 / 3, 0.7654325]
     assert tfidf.round_half_up(np.array(x), 6).tolist() == [r[0] for r in frame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+
+
+def test_query_answers_every_question(spark, frame, tmp_path):
+    from graphloom.plans import catalogue
+
+    frame([("c1", "oak and elm"), ("c2", "ash and elm")], "chunk_id string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    frame([(i, t) for i, t in ((1, "which oak"), (50, "which ash"), (77, "an ash"), (None, "oak"), (99, "none"))], "id long, question string").write.parquet(f"{tmp_path}/results.parquet")
+    got = catalogue.queries()["tfidf_topk"](spark, str(tmp_path)).collect()
+    assert {(r["query"], r["id"]) for r in got} == {(1, "c1"), (50, "c2"), (77, "c2")}
