@@ -54,7 +54,7 @@ def test_rounding_as_spark(frame):
     import numpy as np
     from pyspark.sql import functions as F
 
-    x = [0.1234565, 0.0000005, 0.9999995, 0.25, 0.1234575, 0.3000005, 1 / 3, 0.7654325]
+    x = [0.1234565, 0.0000005, 0.9999995, 0.25, 0.1234575, 0.3000005, 1 / 3, 0.7654325, -0.1234565, 1234567.0000005, 1e300, 123456789012.3456785]
     assert tfidf.round_half_up(np.array(x), 6).tolist() == [r[0] for r in frame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
 
 
